@@ -74,18 +74,19 @@ class SplitRule:
     label: str = LABEL
     key: str = ID
 
-    def column(self) -> Column:
-        hashed = seeded_hash(self.key, self.seed)
+    def column_of(self, label: Column, key: Column) -> Column:
+        """The part decided by a label and an id; NULL without a label."""
+        hashed = seeded_hash(key, self.seed)
         whole = F.lit(None)
         for c, cuts in self.cuts.items():
             part = F.lit(self.names[-1])
             for i in reversed(range(len(cuts))):
                 part = F.when(hashed <= cuts[i], F.lit(self.names[i])).otherwise(part)
-            whole = F.when(F.col(self.label) == c, part).otherwise(whole)
+            whole = F.when(label == c, part).otherwise(whole)
         return whole
 
     def apply(self, df: DataFrame, out: str = "split") -> DataFrame:
-        return df.withColumn(out, self.column())
+        return df.withColumn(out, self.column_of(F.col(self.label), F.col(self.key)))
 
 
 def fit_rule(

@@ -29,22 +29,24 @@ def build_session(app: str = "riskweir", master: str | None = None, shuffle_part
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir``, where lineage is cut and tables are stored.
+
+    Only a local master without that setting gets a temporary folder of its own, once per session.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    return tempfile.mkdtemp(prefix="riskweir-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskweir-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make iterative fits able to cut lineage: point the context at the shared folder."""
+    """Let iterative fits cut their lineage in the shared folder."""
+    folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

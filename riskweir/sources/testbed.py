@@ -102,15 +102,19 @@ def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_frame(clean, check_classes=False)[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back.
+def store(df: DataFrame, name: str) -> str:
+    """Write the frame to the shared folder and give its path.
 
     Jobs that go over cleaned rows several times start from a stored table instead of repeating the
     joins behind it; it also survives lost executors.
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
 
 
 def stored_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,9 +53,10 @@ def as_binary(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.StringType):
         text = F.lower(F.trim(col))
         number = as_number(df, name)
+        # The number is only parsed for texts that are no accepted word.
         return (
-            F.when(text.isin(*TRUE_TEXT) | (number == 1.0), F.lit(1.0))
-            .when(text.isin(*FALSE_TEXT) | (number == 0.0), F.lit(0.0))
+            F.when(text.isin(*TRUE_TEXT), F.lit(1.0)).when(text.isin(*FALSE_TEXT), F.lit(0.0))
+            .when(number.isin(0.0, 1.0), number)
         )
     number = as_number(df, name)
     return F.when(number.isin(0.0, 1.0), number)

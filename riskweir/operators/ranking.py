@@ -91,6 +91,8 @@ def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[f
 
 
 def with_bucket(df: DataFrame, value: str, edges: list[float], out: str = "_b") -> DataFrame:
+    if len(edges) < 3:
+        return df.withColumn(out, F.lit(0.0))
     return Bucketizer(splits=edges, inputCol=value, outputCol=out).transform(df)
 
 

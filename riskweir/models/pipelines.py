@@ -14,7 +14,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from riskweir.operators.fill import Fills, fill_dict, impute
 from riskweir.schema import FEATURES, LABEL, FeatureGroups
@@ -23,6 +23,7 @@ from riskweir.session import use_checkpoints
 SEED = 42
 MODELS = ("gbt_onehot", "gbt_encoded")
 ROUNDS = 300
+MAX_CATEGORIES = 1_000_000
 
 # Default settings of the two boosted candidates.
 DEFAULTS = {
@@ -95,7 +96,8 @@ def encoders(name: str, groups: FeatureGroups, label: str = LABEL) -> list:
     index = [f"{f}__index" for f in texts]
     indexer = StringIndexer(inputCols=texts, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc")
     if name != "gbt_encoded":
-        onehot = OneHotEncoder(inputCols=index, outputCols=[f"{f}__onehot" for f in texts], dropLast=True, handleInvalid="keep")
+        # The indexer's last index stands for unseen values; dropping it leaves them all zeros.
+        onehot = OneHotEncoder(inputCols=index, outputCols=[f"{f}__onehot" for f in texts], dropLast=True)
         return [indexer, onehot]
     rate = TargetEncoder(
         inputCols=index, outputCols=[f"{f}__rate" for f in texts], labelCol=label, targetType="binary", handleInvalid="keep", smoothing=1.0)
@@ -165,7 +167,19 @@ class Prepared:
 def prepare(name: str, train: DataFrame, groups: FeatureGroups = FEATURES, fills: Fills | None = None) -> Prepared:
     """Fit fill and encoders on ``train``; the prepared rows stay cached for the fits that follow."""
     fills = fills or fill_dict(train, groups, fill_rule(name))
+    check_categories(train, groups)
     filled = fill_model(groups, fills)
     encoded = Pipeline(stages=encoders(name, groups)).fit(filled.transform(train))
     stages = [filled, *encoded.stages]
-    return Prepared(name, groups, stages, PipelineModel(stages).transform(train).persist())
+    columns = assembler(name, groups).getInputCols()
+    return Prepared(name, groups, stages, PipelineModel(stages).transform(train).select(LABEL, *columns).persist())
+
+
+def check_categories(train: DataFrame, groups: FeatureGroups, limit: int = MAX_CATEGORIES) -> None:
+    """The encoders keep the list of categories on the driver, so free text must not be passed as a category."""
+    if not groups.categorical:
+        return
+    sizes = train.agg(*[F.approx_count_distinct(f).alias(f) for f in groups.categorical]).first().asDict()
+    wide = {f: n for f, n in sizes.items() if n > limit}
+    if wide:
+        raise ValueError(f"Categorical features with more than about {limit} values: {wide}; group their values first.")

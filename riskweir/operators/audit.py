@@ -41,10 +41,6 @@ def audit_common(train: DataFrame, groups: FeatureGroups) -> DataFrame:
     sends one row per feature.
     """
     counts = value_counts(train, groups)
-    return audit_from_counts(counts, groups)
-
-
-def audit_from_counts(counts: DataFrame, groups: FeatureGroups) -> DataFrame:
     observed = F.col("value").isNotNull()
     sums = counts.groupBy("feature").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~observed, F.col("n"))), F.lit(0)).alias("missing_count"),
@@ -107,16 +103,11 @@ def audit_numeric(train: DataFrame, groups: FeatureGroups) -> DataFrame:
 
 def audit_values(train: DataFrame, groups: FeatureGroups) -> DataFrame:
     """(feature, value, n, fraud_rate, rare) for boolean and categorical features, missing shown as a value."""
-    chosen = FeatureGroups((), groups.boolean, groups.categorical)
-    counts = value_counts(train, chosen)
-    return values_from_counts(counts, train.agg(F.count("*").alias("rows")))
-
-
-def values_from_counts(counts: DataFrame, size: DataFrame) -> DataFrame:
+    counts = value_counts(train, FeatureGroups((), groups.boolean, groups.categorical))
+    # One row per feature: the counts of a feature add up to the number of rows.
+    rows = counts.groupBy("feature").agg(F.sum("n").alias("rows"))
     limit = F.greatest(F.lit(RARE_ROWS), F.ceil(F.col("rows") * F.lit(RARE_SHARE)))
-    # `size` is a single aggregate row attached by a constant key.
-    keyed = counts.withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one")
-    return keyed.select(
+    return counts.join(F.broadcast(rows), "feature").select(
         "feature", F.coalesce("value", F.lit(MISSING)).alias("value"), "n",
         (F.col("fraud").cast("double") / F.col("n")).alias("fraud_rate"), (F.col("n") < limit).alias("rare"),
     )

@@ -13,12 +13,14 @@ def improvement(delta: Column) -> Column:
     return F.when(delta < 0, "negative").when(delta < 0.001, "negligible").when(delta < 0.005, "marginal").otherwise("meaningful")
 
 
+def _all_rows():
+    return Window.partitionBy(F.lit(0))
+
+
 def mark_best(rows: DataFrame, score: str, by: str = "model") -> DataFrame:
     """Adds ``selected``: the row with the highest score, the first name on ties."""
-    best = rows.agg(F.min(F.struct((-F.col(score)).alias("k"), F.col(by).alias("name"))).alias("b")).select(F.col("b.name").alias("_best"))
-    # `best` is a single aggregate row.
-    tagged = rows.withColumn("_one", F.lit(1)).join(F.broadcast(best.withColumn("_one", F.lit(1))), "_one")
-    return tagged.withColumn("selected", F.col(by) == F.col("_best")).drop("_best", "_one")
+    place = F.row_number().over(_all_rows().orderBy(F.col(score).desc(), by))
+    return rows.withColumn("selected", place == 1)
 
 
 def choose_configuration(rows: DataFrame, tolerance: float = 0.002) -> DataFrame:
@@ -28,10 +30,9 @@ def choose_configuration(rows: DataFrame, tolerance: float = 0.002) -> DataFrame
     """
     means = rows.groupBy("feature_configuration").agg(
         F.avg("validation_pr_auc").alias("mean_validation_pr_auc"), F.min("n_features").alias("n_features"))
-    best = means.agg(F.max("mean_validation_pr_auc").alias("_best")).withColumn("_one", F.lit(1))
-    near = means.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one").filter(
+    near = means.withColumn("_best", F.max("mean_validation_pr_auc").over(_all_rows())).filter(
         F.col("mean_validation_pr_auc") >= F.col("_best") - tolerance)
-    return near.drop("_one", "_best").orderBy("n_features", F.col("mean_validation_pr_auc").desc(), "feature_configuration").limit(1)
+    return near.drop("_best").orderBy("n_features", F.col("mean_validation_pr_auc").desc(), "feature_configuration").limit(1)
 
 
 def with_delta(rows: DataFrame, baseline: str, score: str = "validation_pr_auc") -> DataFrame:

@@ -157,6 +157,11 @@ def development_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split").isin("train", "validation"))
 
 
+def members_of(df: DataFrame, membership: DataFrame, names: tuple[str, ...], key: str = ID) -> DataFrame:
+    """Rows whose id belongs to the named parts of a saved membership table (id, split)."""
+    return df.join(membership.filter(F.col("split").isin(*names)).select(key), key, "left_semi")
+
+
 def quarantine_test(raw: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> DataFrame:
     """Rows of train and validation only.
 

@@ -37,7 +37,7 @@ def _vectors(spark, sf, name):
     finally:
         prepared.release()
     vector = vector_to_array("features")
-    return wide.select(ID, "split", F.size(vector).alias("width"), F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return wide.select(ID, "split", F.size(vector).alias("width"), F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query

@@ -306,6 +306,7 @@ c AS (SELECT id, sum(f) AS f, sum(l) AS l FROM (SELECT id, 1 AS f, 0 AS l FROM f
     sql["manifest_check"] = _with(PARTS + ", h AS (SELECT sha256(id) AS h FROM parts WHERE split <> 'test')",
         f"SELECT count(*)::BIGINT AS verified_row_count, {_DIGEST} AS verified_membership FROM h")
     sql["heldout_quarantine"] = _with(PARTS, f"SELECT id, is_fraud, split, {', '.join(ALL)} FROM parts WHERE split <> 'test'")
+    sql["membership_selection"] = _with(PARTS, f"SELECT id, is_fraud, {', '.join(ALL)} FROM parts WHERE split = 'validation'")
     sql["development_rows"] = _with(PARTS, "SELECT id, is_fraud, split FROM parts WHERE split IN ('train', 'validation')")
     kinds = {**dict.fromkeys(CONT, "double"), **dict.fromkeys(CATEGORICAL, "string")}
     sql["representation_audit"] = _with(PARTS, _union([
@@ -361,8 +362,8 @@ fs AS (SELECT scored.*, fold FROM scored JOIN folds ON scored.id = folds.id),"""
         "SELECT model, feature_configuration, round(avg(pr_auc), 8) AS mean_pr_auc, round(stddev_pop(pr_auc), 8) AS std_pr_auc FROM met GROUP BY model, feature_configuration")
 
     sql["three_way_decision"] = _with(SCORED, f"SELECT id, model, feature_configuration, {_DECIDE} AS decision FROM scored")
-    sql["decision_policy"] = _with(SCORED, """SELECT id, CASE WHEN score >= 0.7 THEN 'decline' WHEN score >= 0.3 THEN 'manual_review' ELSE 'approve' END AS decision,
-  'explicit caller-supplied thresholds' AS decision_policy FROM scored WHERE model = 'model_a' AND feature_configuration = 'lines'""")
+    sql["decision_policy"] = _with(SCORED, """SELECT id, model, feature_configuration, CASE WHEN score >= 0.7 THEN 'decline' WHEN score >= 0.3 THEN 'manual_review' ELSE 'approve' END AS decision,
+  'explicit caller-supplied thresholds' AS decision_policy FROM scored""")
     sql["profit_summary"] = _with(SCORED, _PROFIT.format(by="model, feature_configuration", decide=_DECIDE))
 
     sql["best_model"] = _with(MET + """, r AS (SELECT model, max(pr_auc) FILTER (WHERE split = 'validation') AS validation_pr_auc, max(pr_auc) FILTER (WHERE split = 'test') AS test_pr_auc
@@ -393,6 +394,25 @@ pairs AS (SELECT 'model_a' AS model, 'lines' AS feature_configuration, 'tuned' A
 FROM pairs p JOIN met v ON v.model = p.model AND v.feature_configuration = p.feature_configuration AND v.split = 'validation'
 JOIN met t ON t.model = p.model AND t.feature_configuration = p.feature_configuration AND t.split = 'test'""")
 
+    parts_cols = f"id, is_fraud, {', '.join(ALL)}, split"
+    sql["staged_development"] = _with(PARTS, f"SELECT {parts_cols} FROM parts WHERE split <> 'test'")
+    sql["staged_test"] = _with(PARTS, f"SELECT {parts_cols} FROM parts")
+
+    bool_fill = f"bool_cells AS ({_cells('train', list(BOOLEAN), 'DOUBLE')}), bool_fill AS ({_MODE.format(cells='bool_cells')})"
+    numbers = " + ".join(_fill(f).rsplit(" AS ", 1)[0] for f in NUMERIC)
+    modes = " + ".join(f"coalesce({f}, (SELECT fill::DOUBLE FROM bool_fill WHERE feature = '{f}'))" for f in BOOLEAN)
+    booleans = " + ".join(_fill(f).rsplit(" AS ", 1)[0] for f in BOOLEAN)
+    known = " + ".join(f"(coalesce({f}, '') IN (SELECT value FROM text_cells WHERE feature = '{f}') OR {f} IS NULL)::INT" for f in CATEGORICAL)
+    width = f"({len(CONT)} + (SELECT count(DISTINCT (feature, value)) FROM text_cells WHERE value IS NOT NULL))::INT"
+    sql["onehot_features"] = _with(FILLS + ", " + bool_fill, f"SELECT id, split, {width} AS width, round({numbers} + {modes} + {known}, 4) AS total FROM parts")
+    filled = _union([f"SELECT '{f}' AS feature, {_fill(f).rsplit(' AS ', 1)[0]} AS value, is_fraud FROM train" for f in CATEGORICAL])
+    rates = f"""filled AS ({filled}), rates AS (SELECT feature, value, count(*)::DOUBLE / (count(*) + 1.0::DOUBLE) * avg(is_fraud)
+  + (1 - count(*)::DOUBLE / (count(*) + 1.0::DOUBLE)) * (SELECT avg(is_fraud) FROM train) AS rate FROM filled GROUP BY feature, value)"""
+    rate = " + ".join(
+        f"coalesce((SELECT rate FROM rates r WHERE r.feature = '{f}' AND r.value = {_fill(f).rsplit(' AS ', 1)[0].replace(f'coalesce({f}', f'coalesce(parts.{f}')}), (SELECT avg(is_fraud) FROM train))"
+        for f in CATEGORICAL)
+    sql["encoded_features"] = _with(FILLS + ", " + rates, f"SELECT id, split, {len(ALL)} AS width, round({numbers} + {booleans} + {rate}, 4) AS total FROM parts")
+
     sql["stream_daily_metrics"] = """SELECT ts::DATE AS day, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors,
   sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (WHERE event_type = 'error')::DOUBLE / count(*) AS error_rate FROM events GROUP BY ts::DATE"""
     sql["stream_latest"] = "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskweir.models.scoring import hash_sample
 from riskweir.operators import audit, cleaning, compare, daily, decide, evaluate, fill, identity, split, violations as v
-from riskweir.operators.names import apply_aliases, normalize_names
 from riskweir.plans.oracle import MEAN_DIGITS, WINDOW
-from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, MISSING, text_schema
+from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, FeatureGroups, scoring_schema
 from riskweir.session import scratch
 from riskweir.sources import readers, testbed as tb, writers
 
@@ -85,10 +84,7 @@ def json_landing(spark, sf):
     """Scoring features written as JSON records, read back with the scoring schema, validated and typed."""
     path = scratch(spark, "json")
     writers.write_records(tb.merchants(spark, sf).select(ID, *FEATURES.all), path)
-    schema = text_schema([ID]).add("_", "string")
-    from riskweir.schema import scoring_schema
-
-    schema = type(schema)([schema[ID], *scoring_schema().fields])
+    schema = T.StructType([T.StructField(ID, T.StringType()), *scoring_schema().fields])
     return cleaning.scoring_frame(readers.read_json(spark, path, schema, lines=True), carry=(ID,))
 
 
@@ -222,6 +218,12 @@ def development_rows(spark, sf):
     return split.development_rows(tb.split_merchants(spark, sf)).select(ID, LABEL, "split")
 
 
+@query
+def membership_selection(spark, sf):
+    membership = tb.stored(tb.split_merchants(spark, sf).select(ID, "split"), "membership")
+    return split.members_of(tb.merchants(spark, sf), membership, ("validation",)).select(ID, LABEL, *FEATURES.all)
+
+
 @query
 def content_fingerprint(spark, sf):
     return identity.content_fingerprint(tb.split_merchants(spark, sf), by="split")
@@ -368,9 +370,9 @@ def three_way_decision(spark, sf):
 
 @query
 def decision_policy(spark, sf):
-    scored = tb.scored_long(spark, sf).filter((F.col("model") == "model_a") & (F.col("feature_configuration") == "lines"))
+    scored = tb.stored(tb.scored_long(spark, sf), "policy")
     decided = decide.apply_policy(scored, review_threshold=0.3, decline_threshold=0.7, score="score")
-    return decided.select(ID, "decision", "decision_policy")
+    return decided.select(ID, "model", "feature_configuration", "decision", "decision_policy")
 
 
 @query
@@ -409,8 +411,6 @@ def ablation_delta(spark, sf):
 
 @query
 def improvement_label(spark, sf):
-    from pyspark.sql import Window
-
     steps = Window.partitionBy("model").orderBy("n_features")
     rows = _validation(spark, sf)
     delta = F.round(F.col("validation_pr_auc") - F.lag("validation_pr_auc").over(steps), 9)
@@ -428,8 +428,6 @@ def freeze_choice(spark, sf):
 
 @query
 def running_best(spark, sf):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("model").orderBy(F.col("feature_configuration").desc(), "split")
     trials = _metrics(spark, sf, FULL_KEYS).select(
         "model", (F.row_number().over(order) - 1).cast("bigint").alias("trial_number"), F.col("pr_auc").alias("cv_mean_pr_auc"))
@@ -438,9 +436,9 @@ def running_best(spark, sf):
 
 def _importance(spark, sf):
     table = _metrics(spark, sf, FULL_KEYS)
-    low = table.agg(F.min("pr_auc").alias("_low")).withColumn("_one", F.lit(1))
-    rows = table.filter(F.col("split") == "validation").withColumn("_one", F.lit(1)).join(F.broadcast(low), "_one")
-    return rows.select("model", F.col("feature_configuration").alias("feature"), F.round(F.col("pr_auc") - F.col("_low"), 9).alias("importance"))
+    low = F.min("pr_auc").over(Window.partitionBy(F.lit(0)))  # eighteen metric rows
+    rows = table.withColumn("importance", F.round(F.col("pr_auc") - low, 9)).filter(F.col("split") == "validation")
+    return rows.select("model", F.col("feature_configuration").alias("feature"), "importance")
 
 
 @query
@@ -455,8 +453,6 @@ def topk_features(spark, sf):
 
 @query
 def attribution_by_source(spark, sf):
-    from riskweir.schema import FeatureGroups
-
     groups = FeatureGroups(("volume", "value"))
     names = ["onehot__value_x", "onehot__volume_lines", "onehot__volume_quantity"]
     sources = spark.createDataFrame([(n, fill.source_feature(n, groups)) for n in names], "column string, feature string")

@@ -20,6 +20,8 @@ def build_session(app: str = "riskweir", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Streaming state on disk: the newest-record job holds one row per id.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

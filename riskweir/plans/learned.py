@@ -93,7 +93,7 @@ def final_evaluation(spark, sf):
 
 def _ablation(spark, sf, configurations):
     parts = tb.split_merchants(spark, sf)
-    return inv.table(spark, inv._on_split(parts, FEATURES, configurations, "validation", ROUNDS, 42))
+    return inv.table(spark, inv.on_split(parts, FEATURES, configurations, "validation", ROUNDS))
 
 
 @query
@@ -136,14 +136,14 @@ def reduced_features(spark, sf):
     parts, models = _models(spark, sf)
     ranking = compare.mean_importance(permutation_importance(models, part(parts, "validation"), FEATURES, repeats=2), "mean_importance")
     order = [r["feature"] for r in ranking.orderBy(F.col("mean_importance").desc(), "feature").collect()]
-    return inv.table(spark, inv._on_split(parts, FEATURES, ab.reduced_configurations(order, FEATURES), "validation", ROUNDS, 42))
+    return inv.table(spark, inv.on_split(parts, FEATURES, ab.reduced_configurations(order, FEATURES), "validation", ROUNDS))
 
 
 @query
 def test_confirmation(spark, sf):
     parts = tb.split_merchants(spark, sf)
     chosen = [ab.Configuration("original_baseline", tuple(FEATURES.all)), ab.group_configurations(FEATURES)[1]]
-    shown = inv._on_split(parts, FEATURES, chosen, "validation", ROUNDS, 42)
+    shown = inv.on_split(parts, FEATURES, chosen, "validation", ROUNDS)
     return inv.confirmation_table(spark, inv.confirmation(parts, FEATURES, chosen, shown, ROUNDS))
 
 

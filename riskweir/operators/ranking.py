@@ -52,9 +52,11 @@ def hash_cuts(keyed: DataFrame, counts: DataFrame, stratum: str, hashed: str, ra
     if not hits:
         return cuts
     prefix = F.substring(hashed, 1, PREFIX)
-    here = reduce(Column.__or__, [(F.col(stratum) == h[stratum]) & (prefix == h["prefix"]) for h in hits])
+    # One look-up per row, so that the pushed-down filter computes the hash once.
+    place = F.concat_ws(":", F.col(stratum).cast("string"), prefix)
+    rows = keyed.filter(place.isin(sorted({f"{h[stratum]}:{h['prefix']}" for h in hits})))
     order = Window.partitionBy(stratum, prefix).orderBy(hashed)
-    ranked = keyed.filter(here).withColumn("local", F.row_number().over(order))
+    ranked = rows.withColumn("local", F.row_number().over(order))
     chosen = reduce(Column.__or__, [
         (F.col(stratum) == h[stratum]) & (prefix == h["prefix"]) & (F.col("local") == h["local"]) for h in hits
     ])

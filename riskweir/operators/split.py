@@ -75,15 +75,22 @@ class SplitRule:
     key: str = ID
 
     def column_of(self, label: Column, key: Column) -> Column:
-        """The part decided by a label and an id; NULL without a label."""
-        hashed = seeded_hash(key, self.seed)
-        whole = F.lit(None)
-        for c, cuts in self.cuts.items():
-            part = F.lit(self.names[-1])
-            for i in reversed(range(len(cuts))):
-                part = F.when(hashed <= cuts[i], F.lit(self.names[i])).otherwise(part)
-            whole = F.when(label == c, part).otherwise(whole)
-        return whole
+        """The part decided by a label and an id; NULL without a label.
+
+        The hash is bound to a lambda variable: it is computed once per row, also where a filter on the
+        part is pushed below other projections.
+        """
+
+        def chosen(hashed: Column) -> Column:
+            whole = F.lit(None)
+            for c, cuts in self.cuts.items():
+                part = F.lit(self.names[-1])
+                for i in reversed(range(len(cuts))):
+                    part = F.when(hashed <= cuts[i], F.lit(self.names[i])).otherwise(part)
+                whole = F.when(label == c, part).otherwise(whole)
+            return whole
+
+        return F.get(F.transform(F.array(seeded_hash(key, self.seed)), chosen), 0)
 
     def apply(self, df: DataFrame, out: str = "split") -> DataFrame:
         return df.withColumn(out, self.column_of(F.col(self.label), F.col(self.key)))

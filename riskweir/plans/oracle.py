@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskweir.schema import ALIASES, BOOLEAN, CATEGORICAL, FEATURES, MISSING, NUMERIC, VENDOR
 from riskweir.operators.audit import REVIEW_NOTE
+from riskweir.schema import BOOLEAN, CATEGORICAL, FEATURES, MISSING, NUMERIC, VENDOR
 
 ALL = FEATURES.all
 CONT = [*NUMERIC, *BOOLEAN]
@@ -349,7 +349,7 @@ UNION ALL SELECT feature, fill::DOUBLE, NULL FROM bool_fill UNION ALL SELECT fea
 
     groups = "model, feature_configuration, split"
     met = SCORED + "," + metric_ctes(groups)
-    sql["probability_metrics"] = _with(met, f"SELECT * FROM met")
+    sql["probability_metrics"] = _with(met, "SELECT * FROM met")
     sql["average_precision"] = _with(met, f"SELECT {groups}, pr_auc FROM met")
     sql["roc_auc"] = _with(met, f"SELECT {groups}, roc_auc FROM met")
     sql["threshold_metrics"] = _with(met, f"""SELECT {groups}, accuracy, balanced_accuracy, "precision", recall, f1 FROM met""")

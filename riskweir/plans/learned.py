@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweir.models import ablation as ab, artifact, search as tune
 from riskweir.models.importance import permutation_importance, shapley_importance
-from riskweir.models.pipelines import assembler, prepare
+from riskweir.models.pipelines import MODELS, assembler, prepare
 from riskweir.operators import compare, identity
 from riskweir.plans import investigation as inv, modeling
 from riskweir.plans.modeling import part
@@ -59,7 +59,7 @@ def model_comparison(spark, sf):
 def cv_average_precision(spark, sf):
     train = part(tb.split_merchants(spark, sf), "train")
     rows = []
-    for name in tune.MODELS:
+    for name in MODELS:
         folds = tune.make_folds(name, train)
         found = tune.cross_validate(folds, [None], ROUNDS)[0]
         tune.release(folds)

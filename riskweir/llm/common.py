@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ CHUNK = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Workers find the package beside the driver's unless the cluster has it installed or gets it with --py-files.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -114,13 +114,13 @@ def judge(docs: DataFrame, threshold: float = 0.5, min_words: int = 50, max_repe
 
     ``base_failed``: fewer than ``min_words`` words, or repeated words above ``max_repeat`` percent. Other rows are kept if the posterior quality
     probability of their votes reaches ``threshold``. Texts are read once: their counts are stored, vote patterns are counted over
-    all documents, and the fitted odds apply as a column expression. Null and empty texts fail. Other columns are ignored.
+    all documents that the model decides on, and the fitted odds apply as a column expression. Null and empty texts fail. Other columns are ignored.
     """
     rules = votes()
     voted = saved(features(docs).withColumns({f"vote_{r}": v for r, v in rules.items()}), "quality")
     names = [f"vote_{r}" for r in rules]
-    patterns = saved(voted.groupBy(*names).agg(F.count("*").alias("n")), "quality-patterns")
-    share, odds = fit(patterns, names, **settings)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    patterns = saved(voted.filter(~failed).groupBy(*names).agg(F.count("*").alias("n")), "quality-patterns")
+    share, odds = fit(patterns, names, **settings)
     out = voted.withColumn("base_failed", failed).withColumn("quality", posterior(share, odds))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

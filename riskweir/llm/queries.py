@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweir.llm import language, leakage, licenses, mixing, quality, sharding, simhash, tokenfile, tokens
+from riskweir.llm import katz, language, leakage, licenses, mixing, quality, sharding, simhash, tokenfile, tokens
 from riskweir.llm.common import documents, in_fold
 from riskweir.session import scratch
 
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir), in_fold(7, 2))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,5 +61,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_token_counts, op3_sharding, op5_simhash_dedup, op6_token_file, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
+    op1_language_id, op2_token_counts, op3_sharding, op4_katz_score, op5_simhash_dedup, op6_token_file, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
 )}

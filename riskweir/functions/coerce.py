@@ -10,8 +10,18 @@ FALSE_TEXT = ("0", "false", "f", "no", "n")
 # Cells that mean missing in merchant files.
 NULL_TOKENS = ("NULL", "null", "")
 
-_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-_ISO_TIME = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?\s*$"
+# The written forms of a binary number; other spellings of 0 and 1 are errors.
+ONE, ZERO = "1.0", "0.0"
+
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+_ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+#: All white space of Unicode; Spark's plain trim knows the space character alone.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def stripped(column: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(column, F.lit(WHITE_SPACE))
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:
@@ -39,7 +49,8 @@ def as_number(df: DataFrame, name: str) -> Column:
     col, kind = F.col(name), dtype(df, name)
     if isinstance(kind, T.StringType):
         # The pattern keeps out suffixes such as "4d" that a bare cast would accept.
-        return F.when(col.rlike(_NUMBER), F.trim(col).try_cast("double"))
+        text = stripped(col)
+        return F.when(text.rlike(_NUMBER), text.try_cast("double"))
     if isinstance(kind, T.BooleanType):
         return col.cast("int").cast("double")
     if isinstance(kind, T.NumericType):
@@ -51,13 +62,8 @@ def as_binary(df: DataFrame, name: str) -> Column:
     """1.0 / 0.0 for the accepted values, NULL for missing and for anything else."""
     col, kind = F.col(name), dtype(df, name)
     if isinstance(kind, T.StringType):
-        text = F.lower(F.trim(col))
-        number = as_number(df, name)
-        # The number is only parsed for texts that are no accepted word.
-        return (
-            F.when(text.isin(*TRUE_TEXT), F.lit(1.0)).when(text.isin(*FALSE_TEXT), F.lit(0.0))
-            .when(number.isin(0.0, 1.0), number)
-        )
+        text = F.lower(stripped(col))
+        return F.when(text.isin(*TRUE_TEXT, ONE), F.lit(1.0)).when(text.isin(*FALSE_TEXT, ZERO), F.lit(0.0))
     number = as_number(df, name)
     return F.when(number.isin(0.0, 1.0), number)
 
@@ -77,8 +83,9 @@ def as_time(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Column:
     if not isinstance(kind, T.StringType):
         return col.cast("timestamp_ntz")
     # A bare cast would read "T10" as today at ten, so the shape is checked first.
-    tries = [F.when(col.rlike(_ISO_TIME), F.trim(col).try_cast("timestamp_ntz"))]
-    tries += [F.try_to_timestamp(F.trim(col), F.lit(f)).cast("timestamp_ntz") for f in formats]
+    text = stripped(col)
+    tries = [F.when(text.rlike(_ISO_TIME), text.try_cast("timestamp_ntz"))]
+    tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*tries)
 
 
@@ -90,4 +97,4 @@ def whole_days(earlier: Column, later: Column) -> Column:
 
 
 def trimmed_id(column: Column) -> Column:
-    return F.trim(column.cast("string"))
+    return stripped(column.cast("string"))

@@ -12,7 +12,7 @@ NEAR_CONSTANT = 0.99
 ID_LIKE = 0.98
 RARE_ROWS = 5
 RARE_SHARE = 0.01
-JSON_VALUES = 1000
+# Fixed value: the note of a feature that looks like an identifier.
 REVIEW_NOTE = "Potential identifier or near-unique field; review before production."
 
 
@@ -113,27 +113,24 @@ def audit_values(train: DataFrame, groups: FeatureGroups) -> DataFrame:
     )
 
 
-def values_json(values: DataFrame, max_values: int = JSON_VALUES) -> DataFrame:
-    """Per feature: rare rows and the two sorted JSON cells.
+def rare_rows(values: DataFrame) -> DataFrame:
+    """(feature, rare_category_rows, n_values) of the long value table, which holds the values themselves, however many there are."""
+    rare = F.coalesce(F.sum(F.when(F.col("rare"), F.col("n"))), F.lit(0))
+    return values.groupBy("feature").agg(rare.alias("rare_category_rows"), F.count("*").alias("n_values"))
 
-    A feature with more values than ``max_values`` has NULL cells: the whole of it stays in the long table.
-    """
-    sizes = values.groupBy("feature").agg(
-        F.count("*").alias("_values"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("n"))), F.lit(0)).alias("rare_category_rows"))
-    # `sizes` has one row per feature.
-    short = values.join(F.broadcast(sizes.filter(F.col("_values") <= max_values).select("feature")), "feature", "left_semi")
-    cells = short.groupBy("feature").agg(*[
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", c))))).alias(name)
-        for name, c in (("value_counts_json", "n"), ("fraud_rate_by_value_json", "fraud_rate"))
-    ])
-    return sizes.drop("_values").join(cells, "feature", "left")
+
+#: Columns of the numeric part of the audit.
+NUMERIC_CELLS = ("mean", "median", "std", "q05", "q25", "q75", "q95", "fraud_mean", "fraud_median", "non_fraud_mean", "non_fraud_median")
 
 
 def feature_audit(train: DataFrame, groups: FeatureGroups) -> DataFrame:
-    """The full audit: common part, numeric part and value part, one row per feature."""
-    common = audit_common(train, groups)
-    full = common.join(audit_numeric(train, groups), "feature", "left") if groups.numeric else common
-    return full.join(values_json(audit_values(train, groups)), "feature", "left")
+    """One row per feature: the common part, the numeric part and the counts of values. :func:`audit_values` lists the values."""
+    full = audit_common(train, groups)
+    if groups.numeric:
+        full = full.join(audit_numeric(train, groups), "feature", "left")
+    if groups.boolean or groups.categorical:
+        full = full.join(rare_rows(audit_values(train, groups)), "feature", "left")
+    return full
 
 
 def missingness_analysis(train: DataFrame, features: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweir.functions.coerce import as_binary, as_number, as_time, nan_to_null, null_tokens, whole_days
+from riskweir.functions.coerce import as_binary, as_number, as_time, nan_to_null, null_tokens, stripped, whole_days
 from riskweir.operators import violations as v
 from riskweir.operators.names import apply_aliases, exact_columns, normalize_names, require
 from riskweir.schema import (
@@ -32,7 +32,7 @@ def land_applications(raw: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFr
 
 def type_applications(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
     """Row-local typing of what decides whether a row stays; works on a stream too."""
-    decision = F.upper(F.trim("final_decision"))
+    decision = F.upper(stripped(F.col("final_decision")))
     return df.withColumns({
         "application_date": as_time(df, "application_date", formats),
         "first_transaction_date": as_time(df, "first_transaction_date", formats),
@@ -77,20 +77,26 @@ def clean_applications(
 ) -> DataFrame:
     """Typed applications, newest record per id, implausible transactions removed.
 
-    ``strict`` first runs one narrow aggregate over all rows and raises on bad labels or decisions.
+    With ``strict`` the pass that reads the rows fails at a bad label or decision, also on a row that is dropped as incomplete.
     Without it the caller has routed bad rows away (see :func:`split_applications`).
     The plausibility filter follows the choice of the newest record on purpose: an id whose newest
     record is implausible disappears.
     """
     landed = land_applications(raw, tie_break)
-    if strict:
-        check_applications(landed)
-    typed = type_applications(landed, formats).dropna(subset=["application_id", "application_date", LABEL])
+    typed = type_applications(complete_applications(landed, formats, strict), formats)
     newest = latest_record(typed, "application_id", "application_date", tie_break)
     kept = derive_applications(newest.filter(plausible(newest)))
     return kept.drop(*[c for c in tie_break if c not in APPLICATION_COLUMNS])
 
 
+def complete_applications(landed: DataFrame, formats: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """Landed rows that have id, date and label."""
+    known = (
+        F.col("application_id").isNotNull() & as_time(landed, "application_date", formats).isNotNull() & as_binary(landed, LABEL).isNotNull()
+    )
+    return v.guarded(landed, application_rules(landed), known) if strict else landed.filter(known)
+
+
 def split_applications(raw: DataFrame, tie_break: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows) by the strict rules, without raising."""
     landed = land_applications(raw, tie_break)
@@ -125,9 +131,7 @@ def type_merchants(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
 def clean_merchants(raw: DataFrame, formats: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """Typed merchants with missing values preserved; fills are learned later, on training rows only."""
     landed = land_merchants(raw)
-    if strict:
-        v.raise_if(landed, merchant_rules(landed), v.binary_message)
-    return type_merchants(landed, formats)
+    return type_merchants(v.guarded(landed, merchant_rules(landed)) if strict else landed, formats)
 
 
 def model_frame(
@@ -146,7 +150,7 @@ def model_frame(
     if check_classes:
         low, high = frame.agg(F.min(LABEL), F.max(LABEL)).first()
         if low is None or low == high:
-            raise ValueError("Target must contain both fraud and non-fraud records.")
+            raise ValueError("The label has one class only; a model needs both.")
     return frame, groups
 
 
@@ -154,8 +158,7 @@ def scoring_frame(df: DataFrame, groups: FeatureGroups = FEATURES, carry: tuple[
     """Exact feature schema, typed; ``carry`` columns travel along untouched."""
     ordered = exact_columns(df.drop(*carry), groups.all)
     full = df.select(*carry, *ordered.columns)
-    if strict:
-        v.check_scoring(full, groups)
+    full = v.guarded(full, v.scoring_rules(full, groups)) if strict else full
     return full.withColumns(
         {c: as_number(full, c) for c in groups.continuous} | {c: F.col(c).cast("string") for c in groups.categorical}
     )

@@ -52,8 +52,8 @@ def daily_aggregates() -> list[Column]:
 
 
 def daily_metrics(applications: DataFrame) -> DataFrame:
-    """One row per calendar day; everything is partially aggregated before the only shuffle."""
-    return applications.groupBy("app_day").agg(*daily_aggregates()).withColumns(_rates())
+    """One row per calendar day, in order; everything is partially aggregated before the shuffle."""
+    return applications.groupBy("app_day").agg(*daily_aggregates()).withColumns(_rates()).orderBy("app_day")
 
 
 def with_rates(daily: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ def with_rates(daily: DataFrame) -> DataFrame:
 
 
 def product_metrics(applications: DataFrame) -> DataFrame:
-    """One row per day and product; rows without a product are left out."""
+    """One row per day and product, in order; rows without a product are left out."""
     known = applications.filter(F.col("product").isNotNull())
-    return known.groupBy("app_day", "product").agg(*_counts()).withColumns(_rates())
+    return known.groupBy("app_day", "product").agg(*_counts()).withColumns(_rates()).orderBy("app_day", "product")
 
 
 def daily_and_product_metrics(applications: DataFrame) -> DataFrame:
@@ -78,20 +78,25 @@ def daily_and_product_metrics(applications: DataFrame) -> DataFrame:
     return both.filter((F.col("is_total") == 1) | F.col("has_product")).drop("has_product").withColumns(_rates())
 
 
+def _day(value: date | str) -> date:
+    return date(*map(int, value.split("-"))) if isinstance(value, str) else value
+
+
 def anomaly_summary(daily: DataFrame, start: date | str, end: date | str, strict: bool = True) -> DataFrame:
     """Means of each daily metric inside [start, end] and outside it, with the relative change.
 
     One conditional aggregate gives one row; the unpivot makes it a table of at most eight rows.
     """
-    first, last = F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")
-    if str(start) > str(end):
-        raise ValueError("anomaly_start must not be after anomaly_end")
+    start, end = _day(start), _day(end)
+    if start > end:
+        raise ValueError(f"The window ends on {end}, before it starts on {start}.")
+    first, last = F.lit(start), F.lit(end)
     metrics = [m for m in WINDOW_METRICS if m in daily.columns]
     inside = F.col("app_day").between(first, last)
     if strict:
         n_in, n_all = daily.agg(F.count_if(inside), F.count("*")).first()
         if n_in == 0 or n_in == n_all:
-            raise ValueError("Anomaly and baseline periods must both contain data.")
+            raise ValueError(f"The window holds {n_in} of {n_all} days; both it and the rest need some.")
     means = daily.agg(*[
         F.avg(F.when(inside if side == "in" else ~inside, F.col(m))).alias(f"{side}_{m}")
         for m in metrics for side in ("in", "out")

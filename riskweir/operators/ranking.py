@@ -19,12 +19,14 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskweir.functions.coerce import stripped
+
 PREFIX = 4  # hex digits of the hash used as bucket: 65,536 buckets
 
 
 def seeded_hash(key: Column | str, seed: int | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.trim(key.cast("string"))), 256)
+    return F.sha2(F.concat(F.lit(f"{seed}:"), stripped(key.cast("string"))), 256)
 
 
 def prefix_counts(keyed: DataFrame, stratum: str, hashed: str) -> DataFrame:
@@ -81,8 +83,8 @@ def hash_rank(df: DataFrame, key: str, seed: int | str, strata: Sequence[str] =
 
 
 def bucket_count(df: DataFrame) -> int:
-    """More buckets with a wider cluster, within what a quantile sketch carries cheaply."""
-    return min(8192, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Four buckets for each shuffle partition, so a bucket holds a quarter of a partition's rows; 64 at least."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:

@@ -113,12 +113,12 @@ def fit_rule(
 
 def check_split_size(sizes: Totals) -> None:
     if sum(sizes.values()) < 7 or len(sizes) < 2 or min(sizes.values()) < 4:
-        raise ValueError("At least four observations per class are required for a 70/15/15 split.")
+        raise ValueError(f"Too few rows for three parts with both classes: {sizes}")
 
 
 def fit_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> SplitRule:
     if key not in df.columns:
-        raise ValueError("stable_ids are required for reproducible split membership.")
+        raise ValueError(f"Splits follow ids; column {key!r} is absent.")
     if strict:
         check_ids(df, key)
     return fit_rule(df, SPLITS, part_ranks, label, key, seed, check_split_size if strict else None)
@@ -129,13 +129,17 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int
     return fit_split(df, label, key, seed, strict).apply(df)
 
 
-def holdout_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, holdout: float = 0.20) -> DataFrame:
-    """Adds ``split``: train or test."""
+def holdout_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, holdout: float = 0.20, strict: bool = True) -> DataFrame:
+    """Adds ``split``: train or test. Ids must name rows, as for every split here."""
+    if strict:
+        check_ids(df, key)
     return fit_rule(df, ("train", "test"), lambda sizes: holdout_ranks(sizes, holdout), label, key, seed).apply(df)
 
 
-def kfold(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, seed: int = SEED) -> DataFrame:
+def kfold(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> DataFrame:
     """Adds ``fold`` 0 .. folds-1, stratified by label."""
+    if strict:
+        check_ids(df, key)
     rule = fit_rule(df, tuple(range(folds)), lambda sizes: fold_ranks(sizes, folds), label, key, f"fold{seed}")
     return rule.apply(df, "fold")
 

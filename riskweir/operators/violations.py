@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskweir.functions.coerce import as_number, binary_is_bad, dtype, is_real, trimmed_id
+from riskweir.functions.coerce import as_number, binary_is_bad, dtype, is_real, stripped, trimmed_id
 from riskweir.schema import DECISIONS, FEATURES, ID, FeatureGroups
 
 EXAMPLES = 5
@@ -22,7 +22,7 @@ class Rule:
 
 
 def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per broken rule: ``rule``, ``n_bad`` and the smallest distinct ``examples``.
+    """One row per broken rule: ``rule``, ``n_bad`` and the smallest distinct ``examples`` as a JSON array.
 
     Bad cells are counted by (rule, text) before the shuffle, so one text filling a third of the
     table costs one row per task; the examples come from a limited rank, never from a full set.
@@ -37,7 +37,7 @@ def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
         counted.withColumn("at", F.row_number().over(Window.partitionBy("rule").orderBy("value")))
         .filter(F.col("at") <= EXAMPLES)
         .groupBy("rule")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"]), "|").alias("examples"))
+        .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"])).alias("examples"))
     )
     totals = counted.groupBy("rule").agg(F.sum("n").alias("n_bad"))
     return totals.join(first, "rule").select("rule", "n_bad", "examples")
@@ -51,6 +51,19 @@ def any_bad(rules: list[Rule]) -> Column:
     return flag
 
 
+def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None) -> DataFrame:
+    """The rows of ``df`` (where ``keep`` holds), with an error at the first row that breaks a rule.
+
+    Check and selection are one expression in the scan's own pass, so a row that is not kept is checked as well and nothing is
+    read twice. The error names rule and value; :func:`violations` counts all of them.
+    """
+    broken = F.coalesce(*[
+        F.when(F.coalesce(r.bad, F.lit(False)), F.concat(F.lit(f"{r.name}: "), F.coalesce(r.shown.cast("string"), F.lit("<MISSING>")))) for r in rules
+    ])
+    stop = F.raise_error(F.concat(F.lit("Rejected value in "), broken))
+    return df.filter(F.when(broken.isNotNull(), stop).otherwise(F.lit(True) if keep is None else keep))
+
+
 def raise_if(df: DataFrame, rules: list[Rule], message) -> None:
     """Run the check and raise ``ValueError``; at most one row per rule reaches the driver.
 
@@ -70,10 +83,7 @@ def binary_rules(df: DataFrame, columns: list[str]) -> list[Rule]:
 
 
 def binary_message(row) -> str:
-    return (
-        f"Column {row['rule']!r} contains invalid binary values: count={row['n_bad']}, "
-        f"examples={row['examples'].split('|')}"
-    )
+    return f"{row['rule']}: {row['n_bad']} cells are no binary value, such as {row['examples']}"
 
 
 def check_binary(df: DataFrame, columns: list[str]) -> None:
@@ -81,15 +91,12 @@ def check_binary(df: DataFrame, columns: list[str]) -> None:
 
 
 def decision_rule(column: str = "final_decision") -> Rule:
-    text = F.upper(F.trim(F.col(column)))
+    text = F.upper(stripped(F.col(column)))
     return Rule(column, text.isNull() | ~text.isin(*DECISIONS), text)
 
 
 def decision_message(row) -> str:
-    return (
-        f"Column {row['rule']!r} contains missing or unrecognized values: "
-        f"count={row['n_bad']}, examples={row['examples'].split('|')}"
-    )
+    return f"{row['rule']}: {row['n_bad']} cells are no known decision, such as {row['examples']}"
 
 
 def scoring_rules(df: DataFrame, groups: FeatureGroups = FEATURES) -> list[Rule]:
@@ -111,7 +118,7 @@ def scoring_rules(df: DataFrame, groups: FeatureGroups = FEATURES) -> list[Rule]
 def check_scoring(df: DataFrame, groups: FeatureGroups = FEATURES) -> None:
     raise_if(
         df, scoring_rules(df, groups),
-        lambda row: f"Invalid feature values ({row['rule']}): count={row['n_bad']}, examples={row['examples'].split('|')}",
+        lambda row: f"{row['rule']}: {row['n_bad']} rejected cells, such as {row['examples']}",
     )
 
 
@@ -132,12 +139,9 @@ def id_violations(df: DataFrame, column: str = ID) -> DataFrame:
 
 def check_ids(df: DataFrame, column: str = ID) -> None:
     row = id_violations(df, column).first()
-    if row["n_missing"]:
-        raise ValueError(f"stable_ids contain {row['n_missing']} missing values.")
-    if row["n_blank"]:
-        raise ValueError(f"stable_ids contain {row['n_blank']} blank/null values.")
-    if row["n_duplicate"]:
-        raise ValueError(f"stable_ids contain {row['n_duplicate']} duplicate rows.")
+    faults = {"without an id": row["n_missing"], "with a blank id": row["n_blank"], "sharing an id": row["n_duplicate"]}
+    if any(faults.values()):
+        raise ValueError(f"Column {column!r} must name every row once; rows " + ", ".join(f"{what}: {n}" for what, n in faults.items() if n))
 
 
 def score_rule(column: str) -> Rule:
@@ -156,9 +160,4 @@ def choice_rule(column: str, allowed: tuple[str, ...]) -> Rule:
 
 
 def check_domains(df: DataFrame, rules: list[Rule]) -> None:
-    words = {
-        "probability": "Fraud probabilities must be finite values within [0, 1]",
-        "label": "Targets must contain only binary 0/1 values",
-        "choice": "Decisions must contain only supported decision labels: approve, manual_review, decline",
-    }
-    raise_if(df, rules, lambda row: f"{words[row['rule'].rsplit(':', 1)[1]]} (count={row['n_bad']}).")
+    raise_if(df, rules, lambda row: f"{row['rule']}: {row['n_bad']} rows outside the domain")

@@ -249,7 +249,7 @@ def build() -> dict[str, str]:
     sql["json_landing"] = _with(MERCHANTS, f"SELECT id, {', '.join(ALL)} FROM merchants")
 
     def examples(value: str, where: str, source: str = "bad") -> str:
-        return f"""(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT coalesce({value}::VARCHAR, '<MISSING>') AS v FROM {source} WHERE {where} ORDER BY v LIMIT 5))"""
+        return f"""(SELECT to_json(list(v ORDER BY v))::VARCHAR FROM (SELECT DISTINCT coalesce({value}::VARCHAR, '<MISSING>') AS v FROM {source} WHERE {where} ORDER BY v LIMIT 5))"""
 
     def rule(name: str, value: str, where: str, source: str = "bad") -> str:
         return f"SELECT '{name}' AS rule, count(*)::BIGINT AS n_bad, {examples(value, where, source)} AS examples FROM {source} WHERE {where} HAVING count(*) > 0"
@@ -265,6 +265,8 @@ def build() -> dict[str, str]:
         rule("identity_rank:not_numeric", "identity_rank", "identity_rank = '4d'"),
         rule("identity_rank:not_finite", "identity_rank", "identity_rank = 'inf'"),
         rule("is_valid:not_numeric", "is_valid", "is_valid = 'maybe'"), rule("is_valid:not_binary", "is_valid", "is_valid = '2'")]))
+    sql["stream_score_quarantine"] = _with(BAD_MERCHANTS, """SELECT quarantined, count(*)::BIGINT AS n, count(*)::BIGINT AS sound
+  FROM (SELECT coalesce(identity_rank IN ('4d', 'inf'), false) OR coalesce(is_valid IN ('maybe', '2'), false) AS quarantined FROM bad) GROUP BY quarantined""")
     sql["id_violations"] = _with(BAD_MERCHANTS, """SELECT count(*) FILTER (WHERE id IS NULL)::BIGINT AS n_missing,
   count(*) FILTER (WHERE trim(id) = '' OR lower(trim(id)) = 'null')::BIGINT AS n_blank,
   count(*) FILTER (WHERE id = 'order-twin')::BIGINT AS n_duplicate FROM bad""")
@@ -305,6 +307,9 @@ c AS (SELECT id, sum(f) AS f, sum(l) AS l FROM (SELECT id, 1 AS f, 0 AS l FROM f
         f"SELECT part, count(*)::BIGINT AS n, {_DIGEST} AS fingerprint FROM h GROUP BY part")
     sql["manifest_check"] = _with(PARTS + ", h AS (SELECT sha256(id) AS h FROM parts WHERE split <> 'test')",
         f"SELECT count(*)::BIGINT AS verified_row_count, {_DIGEST} AS verified_membership FROM h")
+    sql["artifact_check"] = f"SELECT 'riskweir_gbt_encoded_v1' AS model_identifier, verified_row_count, verified_membership, {len(ALL)} AS n_features FROM ({sql['manifest_check']})"
+    sql["manifest_difference"] = _with(PARTS + ", a AS (SELECT id FROM parts WHERE split <> 'test')", """SELECT (SELECT count(*) FROM a WHERE id NOT LIKE '%21') + (SELECT count(*) FROM parts WHERE id LIKE '%22') AS n_found,
+  (SELECT count(*) FROM a)::BIGINT AS n_approved, (SELECT count(*) FROM parts WHERE id LIKE '%22')::BIGINT AS not_approved, (SELECT count(*) FROM a WHERE id LIKE '%21')::BIGINT AS absent""")
     sql["heldout_quarantine"] = _with(PARTS, f"SELECT id, is_fraud, split, {', '.join(ALL)} FROM parts WHERE split <> 'test'")
     sql["membership_selection"] = _with(PARTS, f"SELECT id, is_fraud, {', '.join(ALL)} FROM parts WHERE split = 'validation'")
     sql["development_rows"] = _with(PARTS, "SELECT id, is_fraud, split FROM parts WHERE split IN ('train', 'validation')")
@@ -347,6 +352,8 @@ UNION ALL SELECT feature, fill::DOUBLE, NULL FROM bool_fill UNION ALL SELECT fea
     sql["feature_audit_rare"] = _with(TRAIN + f", c AS ({value_cells}), v AS (SELECT feature, count(*) AS n FROM c GROUP BY feature, value)", """SELECT feature,
   coalesce(sum(n) FILTER (WHERE n < greatest(5, ceil((SELECT count(*) FROM train) * 0.01::DOUBLE))), 0)::BIGINT AS rare_category_rows, count(*)::BIGINT AS n_values FROM v GROUP BY feature""")
 
+    sql["feature_audit"] = f"SELECT * FROM ({sql['feature_audit_common']}) LEFT JOIN ({sql['feature_audit_numeric']}) USING (feature) LEFT JOIN ({sql['feature_audit_rare']}) USING (feature)"
+
     groups = "model, feature_configuration, split"
     met = SCORED + "," + metric_ctes(groups)
     sql["probability_metrics"] = _with(met, "SELECT * FROM met")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskweir.models.scoring import hash_sample
 from riskweir.operators import audit, cleaning, compare, daily, decide, evaluate, fill, identity, split, violations as v
 from riskweir.plans.oracle import MEAN_DIGITS, WINDOW
-from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, FeatureGroups, scoring_schema
+from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, FeatureGroups
 from riskweir.session import scratch
 from riskweir.sources import readers, testbed as tb, writers
 
@@ -23,8 +23,8 @@ def _round(df: DataFrame, digits: int, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _apps(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
-    return cleaning.clean_applications(tb.applications_raw(spark, sf), tb.TIE_BREAK, strict=strict)
+def _apps(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_applications(tb.applications_raw(spark, sf), tb.TIE_BREAK)
 
 
 # -- cleaning and daily tables
@@ -32,13 +32,14 @@ def _apps(spark: SparkSession, sf: str, strict: bool = False) -> DataFrame:
 
 @query
 def clean_applications(spark, sf):
-    return _apps(spark, sf, strict=True)
+    return _apps(spark, sf)
 
 
 @query
 def latest_record(spark, sf):
     landed = cleaning.land_applications(tb.applications_raw(spark, sf), tb.TIE_BREAK)
-    newest = cleaning.latest_record(cleaning.type_applications(landed), "application_id", "application_date", tb.TIE_BREAK)
+    checked = v.guarded(landed, cleaning.application_rules(landed))
+    newest = cleaning.latest_record(cleaning.type_applications(checked), "application_id", "application_date", tb.TIE_BREAK)
     return newest.select("application_id", "application_date", "final_decision", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -81,11 +82,10 @@ def csv_landing(spark, sf):
 
 @query
 def json_landing(spark, sf):
-    """Scoring features written as JSON records, read back with the scoring schema, validated and typed."""
+    """Scoring features written as JSON records, read back as text under the names they have, validated and typed."""
     path = scratch(spark, "json")
     writers.write_records(tb.merchants(spark, sf).select(ID, *FEATURES.all), path)
-    schema = T.StructType([T.StructField(ID, T.StringType()), *scoring_schema().fields])
-    return cleaning.scoring_frame(readers.read_json(spark, path, schema, lines=True), carry=(ID,))
+    return cleaning.scoring_frame(readers.read_json_text(spark, path, lines=True), carry=(ID,))
 
 
 # -- violations
@@ -116,7 +116,7 @@ def decision_violations(spark, sf):
     return v.violations(bad, cleaning.application_rules(bad))
 
 
-def _bad_merchants(spark, sf):
+def bad_merchants(spark, sf):
     level = F.col("reputation_level")
     return tb.merchants(spark, sf).withColumns({
         "identity_rank": F.when(level % 5 == 4, "4d").when(level % 5 == 3, "inf").otherwise(F.col("identity_rank").cast("string")),
@@ -128,13 +128,13 @@ def _bad_merchants(spark, sf):
 
 @query
 def scoring_schema_violations(spark, sf):
-    bad = _bad_merchants(spark, sf)
+    bad = bad_merchants(spark, sf)
     return v.violations(bad, v.scoring_rules(bad))
 
 
 @query
 def id_violations(spark, sf):
-    return v.id_violations(_bad_merchants(spark, sf))
+    return v.id_violations(bad_merchants(spark, sf))
 
 
 @query
@@ -152,8 +152,7 @@ def domain_violations(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    keys = tb.stored(tb.merchants(spark, sf).select(ID, LABEL), "keys")
-    return split.stratified_split(keys)
+    return split.stratified_split(tb.merchants(spark, sf).select(ID, LABEL))
 
 
 @query
@@ -163,8 +162,7 @@ def split_audit(spark, sf):
 
 @query
 def holdout_split(spark, sf):
-    keys = tb.stored(tb.merchants(spark, sf).select(ID, LABEL), "keys")
-    return split.holdout_split(keys)
+    return split.holdout_split(tb.merchants(spark, sf).select(ID, LABEL))
 
 
 @query
@@ -201,11 +199,27 @@ def membership_fingerprints(spark, sf):
 
 @query
 def manifest_check(spark, sf):
-    """A development set against its own approval record; the check raises on any difference."""
-    development = split.development_rows(tb.split_merchants(spark, sf))
-    verified = identity.check_manifest(development, identity.manifest(development, reference="development"))
-    fields = {k: verified[k] for k in ("verified_row_count", "verified_membership")}
-    return spark.createDataFrame([fields], "verified_row_count bigint, verified_membership string")
+    """Development rows read from the merchants, against the record made of the stored membership; any difference is an error."""
+    membership, record = _approved(spark, sf)
+    verified = identity.check_manifest(split.members_of(tb.merchants(spark, sf), membership, ("train", "validation")), record)
+    return spark.createDataFrame([(verified["rows"], verified["members"])], "verified_row_count bigint, verified_membership string")
+
+
+def _approved(spark, sf) -> tuple[DataFrame, dict]:
+    membership = tb.stored(tb.split_merchants(spark, sf).select(ID, "split"), "membership")
+    return membership, identity.manifest(split.development_rows(membership), reference="development")
+
+
+@query
+def manifest_difference(spark, sf):
+    """What the record says about a set that lacks some approved rows and holds some others."""
+    membership, record = _approved(spark, sf)
+    rows = tb.merchants(spark, sf).select(ID)
+    development = split.members_of(rows, membership, ("train", "validation")).filter(~_ends(ID, "21"))
+    strange = rows.filter(_ends(ID, "22")).select(F.concat(F.col(ID), F.lit("x")).alias(ID))
+    found = identity.manifest_differences(development.unionByName(strange), record, split.development_rows(membership).select(ID))
+    counts = [found["rows"][0], found["rows"][1], found["not approved"][0], found["absent"][0]]
+    return spark.createDataFrame([counts], "n_found bigint, n_approved bigint, not_approved bigint, absent bigint")
 
 
 @query
@@ -309,14 +323,13 @@ def feature_audit_values(spark, sf):
 @query
 def feature_audit_rare(spark, sf):
     values = audit.audit_values(tb.train_merchants(spark, sf), FEATURES)
-    cells = audit.values_json(values)
-    count = F.size(F.map_keys(F.from_json("value_counts_json", "map<string,bigint>"))).cast("bigint")
-    return cells.select("feature", "rare_category_rows", count.alias("n_values"))
+    return audit.rare_rows(values)
 
 
 @query
 def feature_audit(spark, sf):
-    return audit.feature_audit(tb.train_merchants(spark, sf), FEATURES)
+    table = audit.feature_audit(tb.train_merchants(spark, sf), FEATURES)
+    return _round(table, 6, list(audit.NUMERIC_CELLS))
 
 
 # -- metrics, decisions, selection
@@ -351,35 +364,28 @@ def threshold_metrics(spark, sf):
 
 @query
 def fold_summary(spark, sf):
-    folds = split.kfold(tb.scored_long(spark, sf).drop("split").filter(F.col("score").isNotNull()).transform(_one_row_per_id))
-    long = folds.select(ID, LABEL, "fold", F.explode("rows").alias("r")).select(LABEL, "fold", "r.*")
+    long = tb.long_scores(split.kfold(tb.split_scores(spark, sf).drop("split")), "fold").filter(F.col("score").isNotNull())
     table = _round(evaluate.metrics(long, ["model", "feature_configuration", "fold"]), 10, ["pr_auc"])
     return _round(compare.fold_summary(table, ["model", "feature_configuration"]), 8, ["mean_pr_auc", "std_pr_auc"])
 
 
-def _one_row_per_id(long: DataFrame) -> DataFrame:
-    rows = F.collect_list(F.struct("model", "feature_configuration", "score"))  # six closed-form scores per id
-    return tb.stored(long.groupBy(ID, LABEL).agg(rows.alias("rows")), "folds")
-
-
 @query
 def three_way_decision(spark, sf):
     scored = tb.scored_long(spark, sf)
-    return decide.decide(scored, 0.8, 0.2, "score", strict=False).select(ID, "model", "feature_configuration", "decision")
+    return decide.decide(scored, 0.8, 0.2, "score").select(ID, "model", "feature_configuration", "decision")
 
 
 @query
 def decision_policy(spark, sf):
-    scored = tb.stored(tb.scored_long(spark, sf), "policy")
-    decided = decide.apply_policy(scored, review_threshold=0.3, decline_threshold=0.7, score="score")
+    decided = decide.apply_policy(tb.scored_long(spark, sf), review_threshold=0.3, decline_threshold=0.7, score="score")
     return decided.select(ID, "model", "feature_configuration", "decision", "decision_policy")
 
 
 @query
 def profit_summary(spark, sf):
     test = tb.scored_long(spark, sf).filter(F.col("split") == "test")
-    decided = decide.decide(test, 0.8, 0.2, "score", strict=False)
-    table = decide.profit(decided, ["model", "feature_configuration"], F.col("model") == "model_b", strict=False)
+    decided = decide.decide(test, 0.8, 0.2, "score")
+    table = decide.profit(decided, ["model", "feature_configuration"], F.col("model") == "model_b")
     return _round(table, 4, ["profit"])
 
 

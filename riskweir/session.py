@@ -52,5 +52,10 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder path of the shared folder for one run's tables."""
-    return f"{shared_dir(spark).rstrip('/')}/riskweir-{name}-{os.urandom(6).hex()}"
+    """A fresh sub-folder path for one run's tables. All of a session's lie in one folder, which goes when the session ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/riskweir-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{name}-{os.urandom(6).hex()}"

@@ -20,16 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, few: int = 8) -> DataFrame:
-    """A tiny input, read as fewer than ``few`` splits, is spread over the cores by ``key`` right after the scan.
-
-    The aggregation by the same key then needs no second shuffle. Anything larger stays as scanned and is
-    aggregated map-side before its shuffle, which is what keeps hot keys cheap.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(few, cores) else df
-
-
 def applications_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw applications: one row per line item, several versions per application id.
 
@@ -57,12 +47,12 @@ def applications_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> Dat
 
 
 def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return applications_from(spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), spark, sf_dir)
+    return applications_from(table(spark, sf_dir, "lineitem"), spark, sf_dir)
 
 
 def merchant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order with lines: the numbers behind merchants and scores."""
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.max("l_shipdate").alias("last_ship"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
@@ -108,7 +98,7 @@ def merchants_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model frame: id, label and the fourteen typed features."""
-    clean = clean_merchants(merchants_raw(spark, sf_dir), strict=False)
+    clean = clean_merchants(merchants_raw(spark, sf_dir))
     return model_frame(clean, check_classes=False)[0]
 
 
@@ -132,7 +122,7 @@ def stored_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(stored_merchants(spark, sf_dir), strict=False)
+    return stratified_split(stored_merchants(spark, sf_dir))
 
 
 def train_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,18 +137,22 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 - F.lit(1.0) / n).alias("a_lines"), (volume / (volume + 100.0)).alias("a_quantity"), (total / (total + 250000.0)).alias("a_value"),
         (n / (n + 8.0)).alias("b_lines"), (1 - F.lit(60.0) / (volume + 60.0)).alias("b_quantity"), (1 - total / (total + 250000.0)).alias("b_value"),
     )
-    return stratified_split(stored(base, "scores"), strict=False)
+    return stratified_split(stored(base, "scores"))
 
 
 def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, is_fraud, split, model, feature_configuration, n_features, score)."""
+    return long_scores(split_scores(spark, sf_dir), "split")
+
+
+def long_scores(wide: DataFrame, *keep: str) -> DataFrame:
+    """One row per id, model and configuration."""
     rows = [
         F.struct(F.lit(f"model_{m}").alias("model"), F.lit(c).alias("feature_configuration"),
                  F.lit(size).alias("n_features"), F.col(f"{m}_{c}").alias("score"))
         for m in ("a", "b") for c, size in CONFIG_SIZES.items()
     ]
-    wide = split_scores(spark, sf_dir)
-    return wide.select(ID, LABEL, "split", F.explode(F.array(*rows)).alias("r")).select(ID, LABEL, "split", "r.*")
+    return wide.select(ID, LABEL, *keep, F.explode(F.array(*rows)).alias("r")).select(ID, LABEL, *keep, "r.*")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", digits: int | N
     out = df if digits is None else rounded(df, digits)
     writer = out.write.mode("overwrite" if overwrite else "errorifexists")
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.format(kind).save(path)
 

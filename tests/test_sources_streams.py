@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from riskweir.operators import cleaning, daily
-from riskweir.schema import scoring_schema
+from riskweir.schema import FEATURES
 from riskweir.session import scratch
 from riskweir.sources import readers, testbed, writers
 from riskweir.streaming import jobs
@@ -19,13 +20,45 @@ def test_csv_keeps_digit_codes(spark, tmp_path):
 @pytest.mark.parametrize("payload", [[{"ea_score": 1.5, "type": "a"}, {"ea_score": None, "type": "b"}], {"ea_score": 2.0, "type": "c"}])
 def test_json_array_or_object(spark, tmp_path, payload):
     (tmp_path / "r.json").write_text(json.dumps(payload, indent=1))
-    got = readers.read_records(spark, str(tmp_path / "r.json"), scoring_schema())
+    got = readers.read_records(spark, str(tmp_path / "r.json"))
     assert got.count() == (2 if isinstance(payload, list) else 1)
 
 
+def test_csv_cells_survive_a_round_trip(spark):
+    rows = [('he "x", y', " pad "), ("line\nbreak", "0012"), ("a,b", "\\")]
+    path = scratch(spark, "cells")
+    writers.write_table(spark.createDataFrame(rows, "a string, b string"), path, "csv")
+    got = readers.read_csv(spark, path, multi_line=True)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_doubled_quotes_are_one_cell(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"he ""x"", y",2\n')
+    assert tuple(readers.read_csv(spark, str(tmp_path / "q.csv")).first()) == ('he "x", y', "2")
+
+
+def record(**changes):
+    return dict.fromkeys(FEATURES.continuous, 1) | dict.fromkeys(FEATURES.categorical, "a") | changes
+
+
+@pytest.mark.parametrize("change, match", [
+    ({"ea_score": "4d"}, "ea_score:not_numeric"), ({"stray": 1}, "stray"), ({"email_days": ...}, "email_days"), ({"is_valid": 2}, "is_valid:not_binary")])
+def test_json_scoring_input_is_refused(spark, tmp_path, change, match):
+    cells = {k: x for k, x in record(**change).items() if x is not ...}
+    (tmp_path / "r.json").write_text(json.dumps([cells]))
+    with pytest.raises((ValueError, PySparkException), match=match):
+        cleaning.scoring_frame(readers.read_records(spark, str(tmp_path / "r.json"))).collect()
+
+
+def test_json_truth_values_and_missing_cells_are_fine(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(record(**c)) for c in ({"is_valid": True, "ea_score": None}, {"is_valid": False, "ea_score": 2.5})))
+    got = cleaning.scoring_frame(readers.read_records(spark, str(tmp_path / "r.jsonl"))).orderBy("is_valid").collect()
+    assert [(r["is_valid"], r["ea_score"]) for r in got] == [(0.0, 2.5), (1.0, None)]
+
+
 def test_unknown_extension(spark):
     with pytest.raises(ValueError, match="must be a"):
-        readers.read_records(spark, "x.xlsx", scoring_schema())
+        readers.read_records(spark, "x.xlsx")
 
 
 def test_daily_csv_round_trip(spark):
@@ -63,10 +96,22 @@ def test_latest_over_several_batches(spark):
     frames = [rows.filter(F.col("u") % 3 == i) for i in range(3)]
     out = scratch(spark, "latest")
     jobs.latest_stream(_source(spark, frames, rows.schema), "k", "t", ["u"], f"{out}/t", f"{out}/c").awaitTermination()
-    got = {tuple(r) for r in jobs.current(spark, f"{out}/t", ["k"]).select("k", "t", "u").collect()}
+    got = {tuple(r) for r in jobs.latest(spark, f"{out}/t", "k", "t", ["u"]).select("k", "t", "u").collect()}
     assert got == {tuple(r) for r in cleaning.latest_record(rows, "k", "t", ("u",)).collect()}
 
 
+def test_compaction_keeps_the_newest_and_lets_keys_expire(spark):
+    rows = spark.range(60).select((F.col("id") % 6).alias("k"), F.col("id").alias("t"))
+    out = scratch(spark, "compact")
+    frames = [rows.filter(F.col("t") < 30), rows.filter(F.col("t") >= 30)]
+    jobs.latest_stream(_source(spark, frames, rows.schema), "k", "t", [], f"{out}/t", f"{out}/c").awaitTermination()
+    newest = jobs.latest(spark, f"{out}/t", "k", "t", [])
+    want = sorted((r["k"], r["t"]) for r in newest.collect() if r["t"] >= 56)
+    jobs.compact(spark, f"{out}/t", newest.filter("t >= 56"))
+    assert sorted((r["k"], r["t"]) for r in jobs.latest(spark, f"{out}/t", "k", "t", []).collect()) == want
+    assert spark.read.parquet(f"{out}/t").count() == len(want) == 4
+
+
 def test_late_rows_inside_the_watermark_correct_a_day_and_older_ones_are_dropped(spark):
     def rows(*days):
         return spark.createDataFrame([(d, 1) for d in days], "d string, v int").select(F.to_timestamp("d").alias("ts"), "v")

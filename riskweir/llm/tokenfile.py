@@ -19,9 +19,9 @@ from riskweir.llm.common import pieces
 REMEMBERED = 500_000
 BLOCK_BYTES = 4 << 20
 SAMPLE = 256
-# Text of these characters alone is split into pieces here; any other is encoded whole by the library.
-LETTERS = "a-zà-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĸĺļľŀłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
+#: Text of these characters alone is split into pieces here; any other is encoded whole by the library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
+LETTERS = "".join(sorted({chr(i).lower() for i in range(0x180) if chr(i).isalpha() and PLAIN.fullmatch(chr(i))}))
 #: The published pattern of the vocabulary, for plain lower-case text.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t\n\r 0-9{LETTERS}]+")
 

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweir.llm.common import WHITE, saved
 
 SYMBOLS = r"[#*$%&|<>]"
+MARKS = r"[^\p{L}\p{N}\s]"
+PLAIN_WORD = r"(?<!\S)\p{L}+[.,;:!?]?(?!\S)"
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts of each whole text: word_chars, n_words, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_upper, n_lower, n_distinct.
+    n_upper, n_lower, n_distinct, n_marks (neither letters, digits nor space), n_plain (words of letters, with one closing mark at most).
 
     Words lie between ASCII white space. Repeated words are those in three-word windows found twice or more in the text, the first one included: the
     hashes of all windows are sorted with their places only where one of them repeats, and each repeated place covers up to three words.
@@ -41,11 +43,15 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         F.coalesce(F.when(F.col("repeats"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.regexp_count("t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"), F.regexp_count("t", F.lit(r"[a-z]")).cast("long").alias("n_lower"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.regexp_count("t", F.lit(MARKS)).cast("long").alias("n_marks"), F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
     )
 
 
 def votes() -> dict[str, Column]:
-    """Rules over :func:`features`: 1 votes for quality, -1 against it, 0 abstains. Each has a range in which it doesn't know."""
+    """Rules over :func:`features`: 1 votes for quality, -1 against it, 0 abstains. Each has a range in which it doesn't know.
+
+    Rules overlap on purpose: the model learns what a vote is worth from how votes agree.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
 
     def rule(good: Column, bad: Column) -> Column:
@@ -54,11 +60,13 @@ def votes() -> dict[str, Column]:
     symbols, repeats = F.col("n_symbols") / n, F.col("n_repeat_words") / n
     mean, lines = F.col("word_chars") / n, F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)).cast("double")
-    distinct = F.col("n_distinct") / n
+    distinct, marks = F.col("n_distinct") / n, F.col("n_marks") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return {
         "symbols": rule(symbols < 0.05, symbols > 0.2),
         "repeats": rule(repeats < 0.15, repeats > 0.4),
-        "lines": rule((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), F.col("n_dup_lines") / lines > 0.3),
+        "lines": rule((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), (F.col("n_dup_lines") > 1) & (F.col("n_dup_lines") / lines > 0.3)),
+        "marks": rule(marks < 0.06, marks > 0.12),
+        "plain_words": rule(F.col("n_plain") / n > 0.8, F.col("n_plain") / n < 0.5),
         "word_length": rule((mean >= 3.5) & (mean <= 8.5), (mean < 2.5) | (mean > 12)),
         "case": rule(F.col("n_upper") / letters < 0.2, F.col("n_upper") / letters > 0.5),
         "variety": rule((distinct > 0.35) | (F.col("n_words") > 1000) & (distinct > 0.2), distinct < 0.12),

@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, see
 
 def taken(docs: DataFrame, **settings) -> DataFrame:
     """The rows of the mix itself, with the columns of ``docs`` (doc_id, source and text among them), each as often as it is taken."""
-    copies = draws(docs, **settings).filter("copies > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__z"), "copies")
-    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__size") == F.col("__z"))
-    found = docs.withColumn("__size", n_words(F.col("text"))).join(copies, same)
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    copies = draws(docs, **settings).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("s"), F.col("doc_id").alias("d"), n_words(F.col("text")).alias("z"))
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
+    return rows.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -43,6 +45,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more, which Spark would do at its next garbage collection."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # objects of the JVM are let go in the background
+        spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder; for small frames of iterative jobs."""
     if not df.sparkSession.sparkContext.getCheckpointDir():
@@ -50,14 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pieces(batch: pa.RecordBatch, size: int = 4 << 20, column: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of text each, one row at least."""
+def pieces(batch: pa.RecordBatch, size: int = 4 << 20, column: str | int = "text", rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of text and ``rows`` rows each, one row at least."""
     data = batch.column(column)
     ends = np.cumsum(np.nan_to_num(pc.binary_length(data).to_numpy(zero_copy_only=False).astype(float)))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + size, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -121,15 +121,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     Columns of the input other than ``keep`` and ``text`` are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    # The text goes to the workers once, among the kept columns or behind them.
+    at = keep.index("text") if "text" in keep else len(keep)
+    sent = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         buckets = len(model.log_prob)
         for batch in rows:
-            for part in pieces(batch, 1 << 20, "__text"):
-                counts = [ngram_counts(x, model.sizes, buckets) if x else (np.empty(0, np.int64),) * 2 for x in part.column("__text").to_pylist()]
+            for part in pieces(batch, 1 << 20, at):
+                counts = [ngram_counts(x, model.sizes, buckets) if x else (np.empty(0, np.int64),) * 2 for x in part.column(at).to_pylist()]
                 if model.languages:
                     post = score(model, counts)
                     best = post.argmax(1)
@@ -137,10 +139,10 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     sure = [float(p[b]) if len(c[0]) else 0.0 for p, b, c in zip(post, best, counts)]
                 else:
                     told, sure = [UNKNOWN] * len(counts), [0.0] * len(counts)
-                own = [part.column(i) for i in range(part.num_columns - 1)]
+                own = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(told, pa.string()), pa.array(sure, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc_id",), **settings) -> DataFrame:

@@ -19,7 +19,7 @@ def _top(digest: Column, bits: int = 32) -> Column:
     return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / (1 << (32 - bits)))
 
 
-def assign(docs: DataFrame, n_shards: int = 24, seed: str = "shards", rows_per_bucket: int = 50_000) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = 24, seed: str = "shards", rows_per_bucket: int = 10_000) -> DataFrame:
     """(doc_id, source, size, text_crc32, position, shard, slot) of every row.
 
     Rows are shuffled within their source by a seeded hash of the id and ranked; the rank as a fraction of the source places each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -21,11 +22,11 @@ MAX_WORDS = 2_000_000
 
 @dataclass(frozen=True)
 class Index:
-    """Inverted index: fingerprint i is at words place[start[i]:start[i + 1]] of templates owner[...]."""
+    """Inverted index: fingerprint i is at words place[start[i]:start[i + 1]] of templates owner[...]; sizes: words of a fingerprint."""
 
     names: list[str]
     words: list[np.ndarray]
-    k: int
+    sizes: tuple[int, ...]
     prints: np.ndarray
     start: np.ndarray
     owner: np.ndarray
@@ -41,17 +42,32 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
-def index(templates: Mapping[str, str], k: int = 3, window: int = 3) -> Index:
-    """Templates of fewer than k + window - 1 words keep all fingerprints. So a text that shares k + window - 1 words in a row with a longer
-    template, or k words with a shorter one, shares a fingerprint with it."""
-    names, words, found = sorted(templates), [], []
+def least_run(n: int, coverage: float) -> int:
+    """Words in a row that stay equal wherever as many of ``n`` words are changed or missing as the coverage allows."""
+    need = wanted(n, coverage)
+    return -(-need // (n - need + 1))
+
+
+def wanted(n: int, coverage: float) -> int:
+    """The fewest words of ``n`` that are the coverage."""
+    return math.ceil(coverage * n - 1e-9)
+
+
+def index(templates: Mapping[str, str], k: int = 3, window: int = 3, coverage: float = 0.8) -> Index:
+    """Fingerprints are of ``k`` words, or fewer where the changed words that the coverage allows can leave no k in a row, and a template is
+    winnowed only as far as the words that must stay in a row allow. So a text with ``coverage`` of a template's words, the others changed or missing, shares
+    a fingerprint with it."""
+    names, words, found, used = sorted(templates), [], [], set()
     for t, name in enumerate(names):
         own, _, first = hash_words(*raw(pa.array([templates[name]])), SEPARATORS)
         if len(own) < k:
             raise ValueError(f"template {name} has fewer than {k} words")
         words.append(own)
-        hashes, _ = kgrams(own, first, k)
-        at = winnow(hashes, window) if len(own) >= k + window - 1 else np.arange(len(hashes))
+        run = least_run(len(own), coverage)
+        size = max(1, min(k, run))
+        used.add(size)
+        hashes, _ = kgrams(own, first, size)
+        at = winnow(hashes, max(1, min(window, run - size + 1)))
         found.append(np.rec.fromarrays([hashes[at], np.full(len(at), t), at], names="h,t,p"))
     if sum(map(len, words)) > MAX_WORDS:
         raise ValueError(f"templates have more than {MAX_WORDS} words; scan with parts of them")
@@ -60,7 +76,7 @@ def index(templates: Mapping[str, str], k: int = 3, window: int = 3) -> Index:
     prints, start = np.unique(every["h"], return_index=True)
     table = np.zeros(1 << FILTER_BITS, bool)
     table[(prints >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(names, words, k, prints, np.r_[start, len(every)], every["t"], every["p"], table)
+    return Index(names, words, tuple(sorted(used)), prints, np.r_[start, len(every)], every["t"], every["p"], table)
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -93,16 +109,30 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return best[1], best[2], best[3]
 
 
+def align_both(template: np.ndarray, text: np.ndarray, low: int, high: int, need: int) -> tuple[int, int, int]:
+    """:func:`align`, and where it matches fewer than ``need`` words, from the back too: a first part that costs what it matches is a tie only seen from there."""
+    found = align(template, text, low, high)
+    if found[0] >= need:
+        return found
+    n, behind = len(text), len(text) - len(template)
+    matched, begin, end = align(template[::-1], text[::-1], behind - high, behind - low)
+    return (matched, n - end, n - begin) if matched > found[0] else found
+
+
 def search(own: Index, texts: pa.Array, coverage: float) -> list[tuple[int, int, int, int, int, int]]:
     """(row, template, matched words, words of the span, first byte, byte after the last) of all spans in the texts."""
     data, offsets = raw(texts)
     words, begins, first = hash_words(data, offsets, SEPARATORS)
-    hashes, inside = kgrams(words, first, own.k)
-    at = np.flatnonzero(own.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & inside)
-    if not len(at) or not len(own.prints):
+    hits = []
+    for size in own.sizes:
+        grams, inside = kgrams(words, first, size)
+        spots = np.flatnonzero(own.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & inside)
+        hits.append((spots, grams[spots]))
+    if not sum(len(x) for x, _ in hits) or not len(own.prints):
         return []
-    entry = np.minimum(np.searchsorted(own.prints, hashes[at]), len(own.prints) - 1)
-    same = own.prints[entry] == hashes[at]
+    at, hashes = (np.concatenate(x) for x in zip(*hits))
+    entry = np.minimum(np.searchsorted(own.prints, hashes), len(own.prints) - 1)
+    same = own.prints[entry] == hashes
     at, entry = at[same], entry[same]
     many = own.start[entry + 1] - own.start[entry]
     if not many.sum():
@@ -113,7 +143,7 @@ def search(own: Index, texts: pa.Array, coverage: float) -> list[tuple[int, int,
     diagonal = at - first[row] - place
     order = np.lexsort((diagonal, owner, row))
     row, owner, diagonal = row[order], owner[order], diagonal[order]
-    slack = np.array([max(2, len(w) // 6) for w in own.words])[owner]
+    slack = np.array([max(2, len(w) // 6, len(w) - wanted(len(w), coverage)) for w in own.words])[owner]
     new = np.r_[True, (np.diff(row) != 0) | (np.diff(owner) != 0) | (np.diff(diagonal) > slack[1:])]
     edges = np.r_[np.flatnonzero(new), len(row)]
     found = []
@@ -124,8 +154,9 @@ def search(own: Index, texts: pa.Array, coverage: float) -> list[tuple[int, int,
         low, top = int(diagonal[a]), int(diagonal[b - 1])
         while low <= top:
             high = min(top, low + len(template) - 1)
-            matched, begin, end = align(template, text, low - pad, high + pad)
-            if matched >= coverage * len(template):
+            need = wanted(len(template), coverage)
+            matched, begin, end = align_both(template, text, low - pad, high + pad, need)
+            if matched >= need:
                 s, e = first[r] + begin, first[r] + end
                 stop = int(offsets[r + 1] if e == first[r + 1] else begins[e])
                 while stop > begins[e - 1] and data[stop - 1] in SEPARATORS:
@@ -150,12 +181,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
     """(doc_id, license, coverage, matched_words, template_words, span_words, begin, end) of every licence text found.
 
     A row is a span of the document that aligns with at least ``coverage`` of a template's words; ``begin`` and ``end`` are its characters, the end
-    excluded. Words are runs of letters and digits with A-Z lower-cased. All windows of ``k`` words of a document are looked up
+    excluded. Words are runs of letters and digits with A-Z lower-cased. All windows of ``k`` words of a document, or fewer as :func:`index` says, are looked up
     in the broadcast index of the templates (at most MAX_WORDS words); only around shared fingerprints are words aligned, within a band as wide as
-    a sixth of the template besides the fingerprints' own spread. Documents are scanned where they are, so nothing is shuffled. Null and empty texts give
+    a sixth of the template or the words that may be missing, besides the fingerprints' own spread. Documents are scanned where they are, so nothing is shuffled. Null and empty texts give
     no row, repeated rows repeat, a licence found twice in a text gives two rows. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index(templates, k, window))
+    shared = docs.sparkSession.sparkContext.broadcast(index(templates, k, window, coverage))
     schema = docs.select("doc_id").schema.add("license", "string").add("coverage", "double").add("matched_words", "long")
     schema = schema.add("template_words", "long").add("span_words", "long").add("begin", "long").add("end", "long")
 

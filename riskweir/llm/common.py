@@ -87,9 +87,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(4)
-def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables(separators: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A random value per byte (A-Z as a-z), separator flags, powers of an odd base and of its inverse mod 2^64."""
-    values = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64)
+    values = np.random.default_rng(20240517 + salt).integers(1, 1 << 63, 256, dtype=np.uint64)
     values[65:91] = values[97:123]
     white = np.zeros(256, bool)
     white[list(separators)] = True
@@ -106,14 +106,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, separators: bytes = b"\t\n\x0b\f\r ") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, separators: bytes = b"\t\n\x0b\f\r ", salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased), the byte where each begins, and the first word of each row.
 
     The hash is a polynomial in an odd base over random byte values, taken from running sums, so that no
     step runs per word. Texts are read in chunks cut at row ends or between words; only a single word longer than
     a chunk is hashed on its own.
     """
-    values, white, up, down = _tables(separators)
+    values, white, up, down = _tables(separators, salt)
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)

@@ -1,5 +1,29 @@
-"""DuckDB SQL of the text queries that SQL can express on whole tables."""
+"""DuckDB counterparts of the text queries that SQL can express."""
 
-from __future__ import annotations
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-ORACLES: dict[str, str] = {}
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(str_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, list_filter(str_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang
+), starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded
+), grams AS (SELECT lang, ws[i:i + size - 1] AS ph, size FROM starts, range(1, 5) AS s(size) WHERE i + size - 1 <= len(ws)
+), counts AS (SELECT lang, ph, size, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), longer AS (
+  SELECT c.lang, c.ph[i:i + size_of_part - 1] AS ph, max(c.f) AS f
+  FROM counts c, range(2, 4) AS s(size_of_part), range(1, 4) AS t(i) WHERE size_of_part < c.size AND i + size_of_part - 1 <= c.size GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.ph, c.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
+  FROM counts c JOIN range(1, 4) AS s(k) ON k < c.size JOIN counts l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN counts r ON r.lang = c.lang AND r.ph = c.ph[k + 1:c.size]
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS place FROM cuts
+), ranked AS (
+  SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.ph, ' ')) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.ph = b.ph WHERE place = 1 AND NOT coalesce(100 * g.f >= 80 * a, false)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_phrase_mining": PHRASES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweir.llm import katz, language, leakage, licenses, mixing, quality, sharding, simhash, tokenfile, tokens
+from riskweir.llm import katz, language, leakage, licenses, mixing, phrases, quality, sharding, simhash, tokenfile, tokens
 from riskweir.llm.common import documents, in_fold
 from riskweir.session import scratch
 
@@ -60,6 +60,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_sharding, op4_katz_score, op5_simhash_dedup, op6_token_file, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
+    op11_phrase_mining,
 )}

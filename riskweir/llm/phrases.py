@@ -179,32 +179,15 @@ def _combined(streams: Iterator[list[np.ndarray]], names: list[str]) -> Iterator
         yield pa.RecordBatch.from_arrays([*rows, n], names=names)
 
 
-def _pairs(docs: DataFrame, salt: int, known: dict[int, np.ndarray], least: int) -> np.ndarray:
-    """Bitmap of pairs that may be frequent: pairs are counted by their hash, which can only count too much."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _combined(([gram_hash(_sequences(p, salt, shared.value, 2))] for p in _parts(rows)), ["h", "f"])
-
-    counted = _texts(docs).mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
-    return bitmap(counted.filter(F.col("f") >= least).select("h"), GRAM_BITS)
-
-
-def _exact(docs: DataFrame, salt: int, known: dict[int, np.ndarray], orders: tuple[int, ...], longest: int, least: int) -> DataFrame:
-    """(w1..., f) of the frequent sequences of the given lengths."""
+def _frequent(docs: DataFrame, salt: int, known: dict[int, np.ndarray], n: int, longest: int, least: int) -> DataFrame:
+    """(w1..., f) of the frequent sequences of n words."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     names = [f"w{k}" for k in range(1, longest + 1)]
 
-    def each(part: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        for n in orders:
-            words = _sequences(part, salt, shared.value, n)
-            if n in shared.value:  # counted by hash before: only those that may be frequent
-                good = _has(shared.value[n], gram_hash(words))
-                words = [w[good] for w in words]
-            yield [*words, *(np.zeros(len(words[0]), np.int64) for _ in range(longest - n))]
-
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _combined((found for p in _parts(rows) for found in each(p)), [*names, "f"])
+        for found in _combined((_sequences(p, salt, shared.value, n) for p in _parts(rows)), [*names[:n], "f"]):
+            none = pa.array(np.zeros(found.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*found.columns[:n], *[none] * (longest - n), found.column("f")], names=[*names, "f"])
 
     counted = _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "f"]))
     return saved(counted.groupBy(*names).agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrase-counts")
@@ -216,18 +199,12 @@ def streams(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataF
     salt = _salt(words, least)
     frequent = saved(named(words.filter(F.col("f") >= least), salt), "phrase-ids")
     known = {1: bitmap(frequent.select("id"), WORD_BITS)}
-    known[2] = _pairs(docs, salt, known, least)
-    single = frequent.select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(f"w{k}") for k in range(2, longest + 1)), "f")
-    stream = single
+    stream = frequent.select(F.col("id").alias("w1"), *(F.lit(0).cast("long").alias(f"w{k}") for k in range(2, longest + 1)), "f")
     for n in range(2, longest + 1):
-        if n == 3:
-            continue  # counted with the pairs
-        found = _exact(docs, salt, known, (2, 3) if n == 2 and longest > 2 else (n,), longest, least)
+        found = _frequent(docs, salt, known, n, longest, least)
         stream = stream.union(found)
-        top = min(longest, max(3, n))
-        if top < longest:
-            rows = found.filter(f"w{top} > 0 and w{top + 1} = 0")
-            known[top] = bitmap(_hashed(rows, top), GRAM_BITS)
+        if n < longest:
+            known[n] = bitmap(_hashed(found, n), GRAM_BITS)
     return words, frequent, saved(stream, "phrase-stream")
 
 

@@ -32,7 +32,9 @@ WORD_BITS, GRAM_BITS = 24, 26
 #: Rows of a range of a sorted stream.
 RANGE_ROWS = 200_000
 #: Sequences that a task counts before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Rows that it hands on at once.
+SENT = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -162,8 +164,8 @@ def _merged(held: list[list[np.ndarray]], counts: list[np.ndarray]) -> tuple[lis
     return [c[starts] for c in columns], (np.add.reduceat(n[order], starts) if len(starts) else n)
 
 
-def _combined(streams: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of columns, added up in the task before they are handed on with their count f."""
+def _combined(streams: Iterator[list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows of columns, added up in the task before they are handed on with their counts."""
     held, counts, size = [], [], 0
     for columns in streams:
         rows, n = _merged([columns], [np.ones(len(columns[0]), np.int64)])
@@ -172,11 +174,10 @@ def _combined(streams: Iterator[list[np.ndarray]], names: list[str]) -> Iterator
             rows, n = _merged(held, counts)
             held, counts, size = [rows], [n], len(n)
             if size > HELD // 2:
-                yield pa.RecordBatch.from_arrays([*rows, n], names=names)
                 held, counts, size = [], [], 0
+                yield rows, n
     if size:
-        rows, n = _merged(held, counts)
-        yield pa.RecordBatch.from_arrays([*rows, n], names=names)
+        yield _merged(held, counts)
 
 
 def _frequent(docs: DataFrame, salt: int, known: dict[int, np.ndarray], n: int, longest: int, least: int) -> DataFrame:
@@ -185,9 +186,11 @@ def _frequent(docs: DataFrame, salt: int, known: dict[int, np.ndarray], n: int,
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _combined((_sequences(p, salt, shared.value, n) for p in _parts(rows)), [*names[:n], "f"]):
-            none = pa.array(np.zeros(found.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([*found.columns[:n], *[none] * (longest - n), found.column("f")], names=[*names, "f"])
+        for words, counts in _combined(_sequences(p, salt, shared.value, n) for p in _parts(rows)):
+            for at in range(0, len(counts), SENT):
+                some = slice(at, at + SENT)
+                none = np.zeros(len(counts[some]), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(w[some]) for w in words), *[pa.array(none)] * (longest - n), pa.array(counts[some])], names=[*names, "f"])
 
     counted = _texts(docs).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "f"]))
     return saved(counted.groupBy(*names).agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrase-counts")

@@ -32,7 +32,7 @@ WORD_BITS, GRAM_BITS = 24, 26
 #: Rows of a range of a sorted stream.
 RANGE_ROWS = 200_000
 #: Sequences that a task counts before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Rows that it hands on at once.
 SENT = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +48,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        yield from pieces(batch)
+        yield from pieces(batch, 1 << 20)
 
 
 # -- words ------------------------------------------------------------------------------------------------------------------------

@@ -21,10 +21,10 @@ WHITE = r"[\x20\x09-\x0D]"
 CHUNK = 1 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     # Workers find the package beside the driver's unless the cluster has it installed or gets it with --py-files.
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def in_fold(modulus: int, fold: int, key: str = "doc_id") -> Column:

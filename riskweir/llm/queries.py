@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweir.llm import katz, language, leakage, licenses, merkle, mixing, phrases, quality, sharding, simhash, tokenfile, tokens
+from riskweir.llm import katz, language, leakage, licenses, merkle, mixing, pagetext, phrases, quality, sharding, simhash, tokenfile, tokens
 from riskweir.llm.common import documents, in_fold
 from riskweir.session import scratch
 
@@ -68,7 +68,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), F.col("doc_id").isNotNull() & in_fold(3, 0))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(documents(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_sharding, op4_katz_score, op5_simhash_dedup, op6_token_file, op7_license_scan, op8_mixing, op9_quality_rules, op10_decontamination,
-    op11_phrase_mining, op12_merkle_manifest,
+    op11_phrase_mining, op12_merkle_manifest, op13_html_extraction,
 )}

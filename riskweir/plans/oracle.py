@@ -228,6 +228,33 @@ IMPORTANCE = MET + """,
 imp AS (SELECT model, feature_configuration AS feature, round(pr_auc - (SELECT min(pr_auc) FROM met), 9) AS importance FROM met WHERE split = 'validation')"""
 
 
+def _drift(ctes: str, table: str, baseline: str, window: str, name: str, numeric: tuple, texts: tuple, bins: int, most: int) -> str:
+    """Drift against the rows for which ``baseline`` is true: quantile bins, most frequent values, PSI with half an occurrence in every bin."""
+    edges = [f"SELECT '{f}' AS feature, unnest(list_distinct(list_transform(quantile_cont({f}::DOUBLE, [{', '.join(str(k / bins) for k in range(1, bins))}]), lambda x: format('{{:.12g}}', x)::DOUBLE))) AS edge FROM {table} WHERE {baseline}" for f in numeric]
+    known = [f"(SELECT '{f}' AS feature, {f}::VARCHAR AS value, row_number() OVER (ORDER BY count(*) DESC, {f}) - 1 AS bin FROM {table} WHERE {baseline} AND {f} IS NOT NULL GROUP BY {f} ORDER BY bin LIMIT {most})" for f in texts]
+    cells = [
+        f"SELECT {window} AS {name}, {baseline} AS base, '{f}' AS feature, CASE WHEN {f} IS NOT NULL THEN (SELECT count(*) FROM edges e WHERE e.feature = '{f}' AND {f} > e.edge) END AS bin FROM {table}" for f in numeric
+    ] + [
+        f"SELECT {window} AS {name}, {baseline} AS base, '{f}' AS feature, CASE WHEN {f} IS NOT NULL THEN coalesce((SELECT bin FROM known k WHERE k.feature = '{f}' AND k.value = {f}), (SELECT count(*) FROM known k WHERE k.feature = '{f}')) END AS bin FROM {table}" for f in texts
+    ]
+    return _with(ctes + f""",
+edges AS ({_union(edges)}), known AS ({_union(known)}),
+cells AS ({_union(cells)}),
+sizes AS (SELECT feature, count(*) + 1 AS bins FROM (SELECT feature FROM edges UNION ALL SELECT feature FROM known) GROUP BY feature),
+slots AS (SELECT feature, bins, unnest(range(bins)) AS bin FROM sizes),
+base AS (SELECT feature, count(*) AS n, count(bin) AS seen FROM cells WHERE base GROUP BY feature),
+base_bins AS (SELECT s.feature, s.bin, s.bins, (count(c.bin) + 0.5::DOUBLE) / (max(b.seen) + 0.5::DOUBLE * s.bins) AS q
+  FROM slots s JOIN base b USING (feature) LEFT JOIN cells c ON c.feature = s.feature AND c.bin = s.bin AND c.base GROUP BY s.feature, s.bin, s.bins),
+wins AS (SELECT {name}, feature, count(*) AS n, count(bin) AS seen FROM cells GROUP BY {name}, feature),
+counts AS (SELECT {name}, feature, bin, count(*) AS n FROM cells WHERE bin IS NOT NULL GROUP BY {name}, feature, bin),
+psi AS (SELECT w.{name}, w.feature, sum(((coalesce(c.n, 0) + 0.5::DOUBLE) / (w.seen + 0.5::DOUBLE * q.bins) - q.q) * ln((coalesce(c.n, 0) + 0.5::DOUBLE) / (w.seen + 0.5::DOUBLE * q.bins) / q.q)) AS psi
+  FROM wins w JOIN base_bins q USING (feature) LEFT JOIN counts c ON c.{name} = w.{name} AND c.feature = w.feature AND c.bin = q.bin GROUP BY w.{name}, w.feature)""",
+        f"""SELECT {name}, w.feature, w.n::BIGINT AS n, round(CASE WHEN w.seen > 0 AND b.seen > 0 THEN psi END, 6) AS psi, round((w.n - w.seen)::DOUBLE / w.n, 6) AS missing_rate,
+  round((w.n - w.seen)::DOUBLE / w.n - (b.n - b.seen)::DOUBLE / b.n, 6) AS missing_shift,
+  CASE WHEN w.seen > 0 AND b.seen > 0 AND psi >= 0.25 THEN 'large' WHEN w.seen > 0 AND b.seen > 0 AND psi >= 0.1 THEN 'moderate' ELSE 'none' END AS drift
+FROM wins w JOIN base b USING (feature) JOIN psi USING ({name}, feature)""")
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["clean_applications"] = _with(APPS, f"SELECT {_CLEAN_APP_COLS} FROM apps")
@@ -420,6 +447,11 @@ JOIN met t ON t.model = p.model AND t.feature_configuration = p.feature_configur
         for f in CATEGORICAL)
     sql["encoded_features"] = _with(FILLS + ", " + rates, f"SELECT id, split, {len(ALL)} AS width, round({numbers} + {booleans} + {rate}, 4) AS total FROM parts")
 
+    sql["drift_metrics"] = _drift(
+        APPS, "apps", "app_day < DATE '1996-07-01'", "date_trunc('month', app_day)::DATE", "month",
+        ("credit_score", "fraud_score", "date_gap_days"), ("product", "industry", "state"), 10, 5)
+    sql["stream_drift"] = _drift(
+        "seen AS (SELECT * FROM events)", "seen", "ts < TIMESTAMP '2024-01-11'", "DATE '1970-01-01' + (epoch_us(ts) // 604800000000 * 7)::INT", "week", ("value",), ("event_type",), 5, 4)
     sql["stream_daily_metrics"] = """SELECT ts::DATE AS day, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors,
   sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (WHERE event_type = 'error')::DOUBLE / count(*) AS error_rate FROM events GROUP BY ts::DATE"""
     sql["stream_latest"] = "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"

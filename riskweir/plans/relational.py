@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskweir.models.scoring import hash_sample
-from riskweir.operators import audit, cleaning, compare, daily, decide, evaluate, fill, identity, split, violations as v
+from riskweir.operators import audit, cleaning, compare, daily, decide, drift, evaluate, fill, identity, split, violations as v
 from riskweir.plans.oracle import MEAN_DIGITS, WINDOW
 from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, FeatureGroups
 from riskweir.session import scratch
@@ -27,6 +27,10 @@ def _apps(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_applications(tb.applications_raw(spark, sf), tb.TIE_BREAK)
 
 
+#: Features whose drift is watched, and where the baseline ends.
+DRIFT_NUMBERS, DRIFT_TEXTS, BASELINE_END = ("credit_score", "fraud_score", "date_gap_days"), ("product", "industry", "state"), "1996-07-01"
+
+
 # -- cleaning and daily tables
 
 
@@ -54,6 +58,17 @@ def product_metrics(spark, sf):
     return daily.product_metrics(_apps(spark, sf))
 
 
+@query
+def drift_metrics(spark, sf):
+    """Monthly drift of cleaned applications against those before the end of the baseline."""
+    path = scratch(spark, "drift")
+    _apps(spark, sf).write.parquet(path)
+    apps = spark.read.parquet(path)
+    frozen = drift.profile(apps.filter(F.col("app_day") < F.lit(BASELINE_END).cast("date")), DRIFT_NUMBERS, DRIFT_TEXTS, most=5)
+    table = drift.drift(apps, frozen, {"month": F.trunc("app_day", "month")})
+    return _round(table, 6, ["psi", "missing_rate", "missing_shift"])
+
+
 @query
 def daily_and_product_metrics(spark, sf):
     return daily.daily_and_product_metrics(_apps(spark, sf)).withColumn("is_total", F.col("is_total").cast("int"))

@@ -32,16 +32,16 @@ def simhash(data: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit form of the fingerprint of each whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., fp): the signed 64-bit form of the fingerprint of each whole text."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in pieces(batch):
                 found = np.fromiter((simhash(x, shingle) for x in as_bytes(part.column("text"))), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
-    schema = docs.select("doc_id").schema.add("fp", "long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = docs.select(*keep).schema.add("fp", "long")
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def ball(fp: Column, radius: int) -> Column:
@@ -101,14 +101,38 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     Other columns are ignored.
     """
     prints = saved(fingerprints(docs, shingle), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    label = firsts(prints, F.col("doc_id"), radius)
+    joined = prints.join(label, prints.fp == label.same, "left")
+    return joined.select("doc_id", "fp", F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def firsts(prints: DataFrame, order: Column, radius: int) -> DataFrame:
+    """(same, first): for each fingerprint of more than one row or with a link, the smallest ``order`` of the rows of its component."""
+    distinct = prints.groupBy("fp").agg(F.min(order).alias("own"), F.count("*").alias("n"))
     roots = components(links(distinct.select("fp"), radius))
     grouped = distinct.join(roots, distinct.fp == roots.node, "left").filter("n > 1 or root is not null")
-    grouped = saved(grouped.select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-groups")
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
-    label = grouped.join(least, "root").select(F.col("fp").alias("same"), "component")
-    joined = prints.join(label, prints.fp == label.same, "left")
-    return joined.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
+    grouped = saved(grouped.select("fp", "own", F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    least = grouped.groupBy("root").agg(F.min("own").alias("first"))
+    return grouped.join(least, "root").select(F.col("fp").alias("same"), "first")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component of :func:`classes`: the one with the smallest doc_id, null last, then by hash of the row.
+
+    Rows are told apart by 128 bits of hash over all columns, so rows that share an id, or have none, but differ anywhere are different
+    rows; of rows that are equal throughout one stays. Texts without a word are one component. The columns stay as they are.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = [*names, *(c.isNull() for c in names)]  # nulls leave a hash as it is
+    keys = {"__one": F.xxhash64(F.lit(1), *marked), "__two": F.xxhash64(F.lit(2), *marked)}
+    keyed = docs.select(*names, *(c.alias(k) for k, c in keys.items()))
+    prints = saved(fingerprints(keyed, shingle, ("doc_id", "__one", "__two")), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__one", "__two")
+    label = firsts(prints, order, radius)
+    gone = prints.join(label, prints.fp == label.same).filter(order != F.col("first")).select(F.col("__one").alias("a"), F.col("__two").alias("b")).distinct()
+    # A row that is equal to the one that stays is not among the rows that go: of those, one is kept here.
+    kept = keyed.join(gone, (F.col("__one") == F.col("a")) & (F.col("__two") == F.col("b")), "left_anti")
+    return kept.dropDuplicates(["__one", "__two"]).select(*names)
 
 
 def hexadecimal(fp: Column) -> Column:

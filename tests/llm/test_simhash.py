@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -85,3 +86,23 @@ def test_many_equal_texts(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text that all of these share").otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = simhash.classes(df).filter("component_id = 0").count()
     assert got >= 1000
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Against all pairs: copies, near copies, rows without an id, rows of one id with other texts, and equal rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        text = [f"w{rng.integers(500)}" for _ in range(150)]
+        near = [*text[:-1], "end"]
+        rows += [(3 * i, " ".join(text), "en"), (3 * i + 1, " ".join(near), "en"), (3 * i + 2, " ".join(text).upper(), "de")]
+    rows += [(None, rows[0][1], "en"), (None, "only here and without an id", "en"), (500, "a text of its own", "en"), (500, "another text of the same id", "en"), (500, "another text of the same id", "en"), (501, None, None), (502, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = closure({i: brute(t) for i, (_, t, _) in enumerate(rows)}, 2)
+    groups = {}
+    for i, (doc_id, text, _) in enumerate(rows):
+        groups.setdefault(want[i], []).append((doc_id is None, doc_id or 0))
+    for parts in (2, 5):
+        got = simhash.one_of_each(df.repartition(parts)).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(g) for g in groups.values())
+    assert simhash.one_of_each(df.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskweir.llm import language, leakage, mixing, nearcopies, sharding
+from riskweir.llm import language, leakage, mixing, sharding, simhash
 from riskweir.llm.common import documents, saved
 
 #: A document is rejected if it has no letter or its most likely language has a lower probability.
@@ -15,17 +15,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is identified; fitted on the labelled ones. Null and letterless texts go.
 
     Where no document has a label, no language is known to reject one for, and all with a letter stay."""
-    names = docs.columns
     model = language.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language.predict(docs, model, keep=tuple(names))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*names)
+    # Whole rows in one column, as the prediction's own names may be among theirs.
+    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = language.predict(whole, model, keep=("row",))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return nearcopies.one_of_each(docs)
+    """One document of each group of near copies: SimHashes of three-word shingles, links at two bits or fewer."""
+    return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

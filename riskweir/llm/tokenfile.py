@@ -25,7 +25,7 @@ LETTERS = "".join(sorted({chr(i).lower() for i in range(0x180) if chr(i).isalpha
 #: The published pattern of the vocabulary, for plain lower-case text.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t\n\r 0-9{LETTERS}]+")
 
-SCHEMA = "part int, block int, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<long>"
+SCHEMA = "part int, block int, inside long, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<long>"
 
 
 class Encoder:
@@ -70,6 +70,10 @@ def elias_fano(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     return low_bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes()
 
 
+#: Place of the k-th one of every byte.
+_PLACES = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
+
+
 class Boundaries:
     """Reads an Elias-Fano sequence in place."""
 
@@ -94,9 +98,13 @@ class Boundaries:
         one = byte * 8 + (first & -first).bit_length() - 1
         return (one - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        return (ones - np.arange(self.n)) << self.low_bits | self._low(np.arange(self.n))
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The values at the given places: their bytes from running counts of ones, their bits from a table."""
+        counts = np.bitwise_count(self.high).astype(np.int64)
+        upto = np.cumsum(counts)
+        byte = np.searchsorted(upto, at, "right")
+        ones = byte * 8 + _PLACES[self.high[byte], at - (upto[byte] - counts[byte])] if len(at) else at
+        return (ones - at) << self.low_bits | self._low(at)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None, block_bytes: int = BLOCK_BYTES) -> None:
@@ -105,7 +113,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
     The files are Parquet, so a task's output appears only when it commits and any store that Spark writes to will do. A row is a block of
     whole documents: ``ids`` is their concatenated ids as little-endian uint16, or uint32 where an id needs it (``width`` bytes each);
     the ends of the documents in it are an Elias-Fano sequence (``low_bits``, ``low``, ``high``, ``samples``), and ``doc_ids`` names them. ``part`` and ``block`` order
-    the blocks. Documents are ordered by a range shuffle, and a task holds one block at a time, or one document if that is longer.
+    the blocks, ``inside`` is the number of ids before a block in its part. Documents are ordered by a range shuffle, and a task holds one block at a time, or one document if that is longer.
     A null text is an empty one. Null ids come first; rows with the same id are ordered by text. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -113,19 +121,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def block(part: int, number: int, ids: list[int | None], codes: list[bytes]) -> dict:
+    def block(part: int, number: int, inside: int, ids: list[int | None], codes: list[bytes]) -> dict:
         tail = np.array([end_id], "<u4").tobytes()
         every = np.frombuffer(b"".join(chain.from_iterable((c, tail) for c in codes)), "<u4")
         width = 2 if every.max() < 1 << 16 else 4
         low_bits, low, high, samples = elias_fano(np.cumsum([len(c) // 4 + 1 for c in codes]))
-        return {"part": part, "block": number, "n_docs": len(ids), "n_ids": len(every), "width": width, "ids": every.astype(f"<u{width}").tobytes(),
+        return {"part": part, "block": number, "inside": inside, "n_docs": len(ids), "n_ids": len(every), "width": width, "ids": every.astype(f"<u{width}").tobytes(),
                 "low_bits": low_bits, "low": low, "high": high, "samples": samples, "doc_ids": ids}
 
-    types = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()),
+    types = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("inside", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()),
                        ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, number, inside = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         codes: list[bytes] = []
         held = 0
@@ -133,26 +141,44 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
             for piece in pieces(batch, 1 << 20):
                 for doc, code in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text").to_pylist())):
                     if ids and held + len(code) + 4 > block_bytes:
-                        yield pa.RecordBatch.from_pylist([block(part, number, ids, codes)], types)
-                        ids, codes, held, number = [], [], 0, number + 1
+                        done = block(part, number, inside, ids, codes)
+                        yield pa.RecordBatch.from_pylist([done], types)
+                        ids, codes, held, number, inside = [], [], 0, number + 1, inside + done["n_ids"]
                     ids.append(doc)
                     codes.append(code)
                     held += len(code) + 4
         if ids:
-            yield pa.RecordBatch.from_pylist([block(part, number, ids, codes)], types)
+            yield pa.RecordBatch.from_pylist([block(part, number, inside, ids, codes)], types)
 
     ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of the files with ``start``: the ids of all blocks before each. One total per part is summed over all parts."""
+    """The blocks of the files with ``start``: the ids of all blocks before each. One total per part is summed over all parts; ids aren't moved.
+
+    There are as many parts as the files were written with partitions, so their totals are a table of bounded size, which is broadcast.
+    """
     stored = spark.read.schema(SCHEMA).parquet(path)
     totals = stored.groupBy("part").agg(F.sum("n_ids").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = totals.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("part_start"))
-    within = stored.select("part", "block", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = within.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("block").alias("b"), (F.col("part_start") + F.col("inside")).alias("start"))
-    return stored.join(starts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).drop("p", "b")
+    return stored.join(F.broadcast(parts), F.col("part") == F.col("p")).withColumn("start", F.col("part_start") + F.col("inside")).drop("p", "part_start")
+
+
+def document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids array) of the documents with that id: two selects in the block that names it, nothing else is decoded."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                ends = Boundaries(*(row[c] for c in ("n_docs", "low_bits", "low", "high", "samples")))
+                found = [i for i, x in enumerate(row["doc_ids"]) if x == doc_id]
+                cuts = [(ends.select(i - 1) if i else 0, ends.select(i)) for i in found]
+                ids = [np.frombuffer(row["ids"], f"<u{row['width']}", b - a, a * row["width"]).tolist() for a, b in cuts]
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "start": row["start"] + a, "n_tokens": b - a, "ids": x} for (a, b), x in zip(cuts, ids)], types)
+
+    types = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    held = blocks(spark, path).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    return held.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -164,7 +190,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("n_docs", "width", "ids", "low_bits", "low", "high", "samples", "start")}
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
-                ends = Boundaries(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"]).all()
+                ends = Boundaries(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"]).select_many(np.arange(row["n_docs"]))
                 begins = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]
                 out = [batch.column("doc_ids").slice(i, 1).flatten(), pa.array(row["start"] + begins), pa.array(ends - begins), pa.array(sums, pa.int64())]

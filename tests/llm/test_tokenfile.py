@@ -18,11 +18,12 @@ def ids(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("ends", [[], [0], [1], [5, 5, 5], list(range(1, 2000)), [10**6], [3, 10**6, 10**6 + 1, 10**9], list(np.cumsum(np.arange(900) % 37))])
+@pytest.mark.parametrize("ends", [[], [0], [1], [5, 5, 5], list(range(1, 2000)), [10**6], [3, 10**6, 10**6 + 1, 10**9], np.cumsum(np.arange(900) % 37).tolist()])
 def test_elias_fano(ends):
     low_bits, low, high, samples = tokenfile.elias_fano(np.array(ends, np.int64))
     found = tokenfile.Boundaries(len(ends), low_bits, low, high, samples)
-    assert found.all().tolist() == ends and [found.select(i) for i in range(len(ends))] == ends
+    some = np.arange(0, len(ends), 3)
+    assert found.select_many(np.arange(len(ends))).tolist() == ends == [found.select(i) for i in range(len(ends))] and found.select_many(some).tolist() == ends[::3]
     if len(ends) > 500:
         assert 8 * (len(low) + len(high)) <= len(ends) * (3 + max(0, int(ends[-1] // len(ends)).bit_length()))
 
@@ -73,3 +74,16 @@ def test_odd_rows(spark, odd, empty):
     path = scratch(spark, "none")
     tokenfile.write(empty, path, PATH)
     assert tokenfile.read(spark, path).count() == 0
+
+
+def test_one_document_by_select(spark, docs):
+    """A look-up finds the document's place and ids as a reading of all files does."""
+    path = scratch(spark, "select")
+    tokenfile.write(docs, path, PATH, block_bytes=2000)
+    every = {r["doc_id"]: r for r in tokenfile.read(spark, path, with_ids=True).collect()}
+    for doc_id in (0, 17, 199):
+        row = tokenfile.document(spark, path, doc_id).first()
+        assert (row["start"], row["n_tokens"], row["ids"]) == (every[doc_id]["start"], every[doc_id]["n_tokens"], every[doc_id]["ids"])
+    assert tokenfile.document(spark, path, -5).count() == 0
+    plan = tokenfile.blocks(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweir.models import ablation as ab, artifact, search as tune
 from riskweir.models.importance import permutation_importance, shapley_importance
-from riskweir.models.pipelines import MODELS, ROUNDS, assembler, prepare
+from riskweir.models.pipelines import MODELS, ROUNDS, assembler, prepare_vectors
 from riskweir.operators import compare, identity, split
 from riskweir.plans import investigation as inv, modeling
 from riskweir.plans.modeling import part
@@ -30,7 +30,7 @@ def query(fn):
 
 def _vectors(spark, sf, name):
     parts = tb.split_merchants(spark, sf)
-    prepared = prepare(name, part(parts, "train"))
+    prepared = prepare_vectors(name, part(parts, "train"))
     try:
         wide = assembler(name, FEATURES).transform(PipelineModel(prepared.stages).transform(parts))
     finally:
@@ -167,7 +167,7 @@ def vendor_scored_holdout(spark, sf):
 # An example of a stored choice for the artifact queries.
 CONFIG = {
     "configuration": "tuned", "seed": 42,
-    "parameters": {"maxIter": ROUNDS, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.9, "minInfoGain": 0.0},
+    "parameters": {"rounds": ROUNDS, "rate": 0.1, "depth": 4, "row_share": 0.9, "l2": 3.0},
 }
 
 

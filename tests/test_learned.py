@@ -17,4 +17,4 @@ def test_registered_queries_use_the_published_numbers(monkeypatch):
     monkeypatch.setattr(learned.compare, "running_best", lambda _: None)
     learned.param_search(None, "")
     assert held == [(40, {})] * len(learned.MODELS)
-    assert learned.ROUNDS == learned.CONFIG["parameters"]["maxIter"] == 300
+    assert learned.ROUNDS == learned.CONFIG["parameters"]["rounds"] == 300

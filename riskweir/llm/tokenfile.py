@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -16,7 +17,9 @@ from tokenizers import Tokenizer
 
 from riskweir.llm.common import pieces
 
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Pieces that the library encodes as one text.
+TOGETHER = 1000
 BLOCK_BYTES = 4 << 20
 SAMPLE = 256
 #: Text of these characters alone is split into pieces here; any other is encoded whole by the library.
@@ -28,26 +31,82 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\t\n\r 0-9{L
 SCHEMA = "part int, block int, inside long, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<long>"
 
 
+class Memory:
+    """What was learned lately: two generations of at most ``limit`` entries, so that what is asked for again and again stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of the keys that must be learned; the others are in ``new`` afterwards, and there is room for all."""
+        if len(self.new) + len(keys) > self.limit:
+            self.old, self.new = self.new, {}
+        asked = keys - self.new.keys()
+        known = asked & self.old.keys()
+        get = self.old.__getitem__
+        self.new.update(zip(known, map(get, known)))
+        return asked - known
+
+
 class Encoder:
-    """Ids as the library gives them. Pieces of plain text are encoded by the library once and remembered."""
+    """Ids as the library gives them. Words of plain text are put together from pieces that the library has encoded once, and remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of every piece. They are encoded as one text, which is cheaper, and told apart by the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) != len(pieces):
+            return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        data, cuts = ids.tobytes(), cuts.tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers words: no piece of plain text goes over white space, so a word's ids are those of its pieces."""
+        new = list(words)
+        cut = [(w,) if w.isalpha() else PIECES.findall(w) for w in new]
+        unknown = list(self.pieces.unknown(set(chain.from_iterable(cut))))
+        for at in range(0, len(unknown), TOGETHER):
+            some = unknown[at:at + TOGETHER]
+            self.pieces.new.update(zip(some, self._each(some)))
+        get = self.pieces.new.__getitem__
+        self.words.new.update(zip(new, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in cut]))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain lower-case texts: only their distinct words are looked up, numpy puts the ids of all words together."""
+        data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+        white = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+        first = ~white
+        first[1:] &= white[:-1]
+        starts = np.flatnonzero(first)
+        places = np.r_[np.cumsum(~white)[starts] - 1, len(data) - white.sum()].astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[~white])).dictionary_encode()
+        known = words.dictionary.to_pylist()
+        self._learn(self.words.unknown(set(known)))
+        codes = list(map(self.words.new.__getitem__, known))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+        ids, begins = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        size = sizes[at]
+        upto = np.cumsum(size)
+        out = ids[np.repeat(begins[at] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        ends = np.cumsum([len(x.encode()) + 1 for x in texts])  # of each text and the space behind it
+        cuts = (4 * np.r_[0, upto][np.searchsorted(starts, ends)]).tolist()
+        return [out[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text, without added tokens."""
-        found = [PIECES.findall(x.lower()) if PLAIN.fullmatch(x) and not any(s in x for s in self.special) else None for x in texts]
-        new = list(set(chain.from_iterable(f for f in found if f)) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chain.from_iterable(f for f in found if f)))
-        for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(code.ids, "<u4").tobytes()
-        whole = iter(self.tokenizer.encode_batch_fast([x for x, f in zip(texts, found) if f is None], add_special_tokens=False))
-        get = self.known.__getitem__
-        return [np.array(next(whole).ids, "<u4").tobytes() if f is None else b"".join(map(get, f)) for f in found]
+        plain = [PLAIN.fullmatch(x) is not None and not any(s in x for s in self.special) for x in texts]
+        simple = iter(self._plain([x.lower() for x, p in zip(texts, plain) if p]) if any(plain) else [])
+        whole = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [next(simple) if p else array("I", next(whole).ids).tobytes() for p in plain]
 
 
 @lru_cache(2)
@@ -138,7 +197,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
         codes: list[bytes] = []
         held = 0
         for batch in rows:
-            for piece in pieces(batch, 1 << 20):
+            for piece in pieces(batch, 2 << 20):
                 for doc, code in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text").to_pylist())):
                     if ids and held + len(code) + 4 > block_bytes:
                         done = block(part, number, inside, ids, codes)

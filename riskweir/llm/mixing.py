@@ -11,6 +11,8 @@ from riskweir.llm.common import saved
 #: Fractional units that one reduction step combines.
 FAN_IN = 64
 #: Source tables up to this number of rows are broadcast; larger ones are joined by a shuffle.
+#: Equal rows that one task writes.
+TOGETHER = 10_000
 MAX_BROADCAST = 100_000
 
 UNIT = "struct<h: bigint, doc_id: bigint, size: bigint, copies: bigint, x: double>"
@@ -107,15 +109,16 @@ def round_units(units: DataFrame, largest: int, seed: int = 7, fan_in: int = FAN
 
 
 def draws(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 7) -> DataFrame:
-    """(source, doc_id, size, rows, source_size, target, copies): one row for all identical (source, doc_id, size) rows, and how often each is taken.
+    """(source, doc_id, size, text_hash, rows, source_size, target, copies): one row for all rows of one source, id and text, and how often each is taken.
 
     The size is the number of words. A document stands for target / source_size copies: the whole part is taken, the rest is rounded by
     :func:`round_units`, which keeps each source's sum of sizes, so that it misses its target by less than its largest unit. Copies never
-    exceed ``cap``. Texts that are null or without words have size 0 and no copies. Identical rows share one draw, whose unit is
-    as large as all of them. Null ids and sources are values like others. Every draw is a hash, so reruns agree.
+    exceed ``cap``. Texts that are null or without words have size 0 and no copies. Rows of one source, id and text share one draw, whose unit is
+    as large as all of them; rows without an id, or of one id, whose texts differ are drawn apart. Null ids and sources are values like others. Every draw is a hash, so reruns agree.
     Texts are read once and never shuffled; other columns are ignored.
     """
-    rows = saved(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")).groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")), "mix-rows")
+    each = docs.select("source", "doc_id", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = saved(each.groupBy("source", "doc_id", "size", "text_hash").agg(F.count("*").alias("rows")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     goal = saved(targets(sizes, weights, cap).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
     count, largest = goal.agg(F.count("*"), F.max("n")).first()
@@ -124,26 +127,30 @@ def draws(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, s
     known = rows.withColumnRenamed("source", "s").join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("ratio", ratio)
     known = known.withColumn("base", F.floor("ratio")).withColumn("x", F.col("ratio") - F.col("base"))
     units = known.filter((F.col("size") > 0) & (F.col("x") > 0)).select(
-        "source", "n", F.xxhash64("source", "doc_id", "size").alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
+        "source", "n", F.xxhash64("source", "doc_id", "size", "text_hash").alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
         (F.col("size") * F.col("rows")).alias("size"), F.col("rows").alias("copies"), "x",
     )
     drawn = round_units(units, largest or 1, seed).select(
-        F.col("source").alias("s"), F.col("doc_id").alias("d"), F.expr("size div copies").alias("z"), F.col("x").cast("long").alias("more"),
+        F.col("source").alias("s"), F.col("doc_id").alias("d"), F.expr("size div copies").alias("z"), "h", F.col("x").cast("long").alias("more"),
     )
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
+    known = known.withColumn("own", F.xxhash64("source", "doc_id", "size", "text_hash"))
+    same = (F.col("own") == F.col("h")) & F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
     copies = F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0).cast("long")
-    return known.join(drawn, same, "left").select("source", "doc_id", "size", "rows", "source_size", "target", copies.alias("copies"))
+    return known.join(drawn, same, "left").select("source", "doc_id", "size", "text_hash", "rows", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row, by :func:`draws`; taken = copies x size."""
-    each = draws(docs, weights, cap, seed).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    drawn = draws(docs, weights, cap, seed)
+    # Very many equal rows are one row until here: they come back in parts that different tasks write.
+    parts = drawn.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(rows - 1) div {TOGETHER}")))).repartition("doc_id", "text_hash", "part")
+    each = parts.withColumn("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(TOGETHER).cast("long"), F.col("rows") - F.col("part") * TOGETHER))))
     return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def taken(docs: DataFrame, **settings) -> DataFrame:
     """The rows of the mix itself, with the columns of ``docs`` (doc_id, source and text among them), each as often as it is taken."""
     copies = draws(docs, **settings).filter("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("s"), F.col("doc_id").alias("d"), n_words(F.col("text")).alias("z"))
-    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("s"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     return rows.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

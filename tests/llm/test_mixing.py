@@ -91,3 +91,18 @@ def test_odd_rows(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
     mixed = mixing.taken(odd)
     assert mixed.columns == odd.columns and mixed.count() == sum(r["copies"] for r in rows)
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    """Sixty texts of one size and no id: their source comes within one of them of its target, not within all of them."""
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(100)), "a") for i in range(60)] + [(1000 + i, " ".join(["v"] * 50), "b") for i in range(75)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    check(mixing.mix(df).collect())
+    assert mixing.taken(df).count() == sum(r["copies"] for r in mixing.mix(df).collect())
+
+
+def test_very_many_equal_rows_come_back_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 7)
+    df = spark.range(100).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix(df).collect()
+    assert len(rows) == 100 and {r["copies"] for r in rows} == {1}

@@ -15,6 +15,8 @@ from riskweir.llm.common import hash_words, kgrams, pieces, raw
 #: Text bytes of benchmark items in one broadcast index.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
+#: Pairs of equal windows of a document and all items that are listed; where there would be more, tiles are found by length.
+LISTED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,8 @@ class Index:
     item_ids: pa.Array
     n_words: np.ndarray
     seeds: list[Seeds]
+    words: np.ndarray
+    first: np.ndarray
 
 
 def index(item_ids: pa.Array, texts: pa.Array, min_match: int) -> Index:
@@ -53,7 +57,7 @@ def index(item_ids: pa.Array, texts: pa.Array, min_match: int) -> Index:
         table = np.zeros(1 << FILTER_BITS, bool)
         table[(unique >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         seeds.append(Seeds(k, unique, np.r_[start, len(at)], item, at - first[item], table))
-    return Index(item_ids, n, seeds)
+    return Index(item_ids, n, seeds, words, first)
 
 
 def tile(doc_at: np.ndarray, item_at: np.ndarray, k: int, n_item: int) -> list[tuple[int, int, int]]:
@@ -90,6 +94,76 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, k: int, n_item: int) -> list[t
     return tiles
 
 
+class _Rolling:
+    """Hashes of all windows of any length of a text, from running sums."""
+
+    def __init__(self, words: np.ndarray):
+        base = 0x9E3779B97F4A7C15
+        up = np.cumprod(np.r_[np.uint64(1), np.full(len(words), base, np.uint64)], dtype=np.uint64)
+        self.down = np.cumprod(np.r_[np.uint64(1), np.full(len(words), pow(base, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+        self.sums = np.r_[np.uint64(0), np.cumsum(words * up[:-1], dtype=np.uint64)]
+
+    def windows(self, n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows of n words without a mark."""
+        upto = np.r_[0, np.cumsum(marks)]
+        at = np.flatnonzero(upto[n:] == upto[:-n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def tile_by_length(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The tiles of :func:`tile` from the word hashes of both texts, without listing the pairs of windows they share.
+
+    From the longest common length of unmarked words down (found by halving, as every part of a match is one), windows of that length are
+    compared by running Karp-Rabin hashes, and the first free one of the item is marked with the first free one of the document. Takes memory in proportion to the texts.
+    """
+    a, b = _Rolling(doc), _Rolling(item)
+    doc_marks, item_marks, tiles = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
+
+    def shared(n: int) -> bool:
+        return n <= min(len(doc), len(item)) and bool(np.isin(b.windows(n, item_marks)[1], a.windows(n, doc_marks)[1]).any())
+
+    high = min(len(doc), len(item))
+    while high >= k and shared(k) and not item_marks.all():
+        low = k  # shared; what is longer than high isn't
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        at, hashes = a.windows(low, doc_marks)
+        order = np.argsort(hashes, kind="stable")
+        at, hashes = at[order], hashes[order]
+        for place, h in zip(*(x.tolist() for x in b.windows(low, item_marks))):
+            if item_marks[place:place + low].any():
+                continue
+            start, stop = np.searchsorted(hashes, np.uint64(h), "left"), np.searchsorted(hashes, np.uint64(h), "right")
+            free = next((d for d in at[start:stop].tolist() if not (doc_marks[d] or doc_marks[d + low - 1])), None)
+            if free is not None:  # marks at this length are as long as the window, so its ends tell
+                doc_marks[free:free + low] = True
+                item_marks[place:place + low] = True
+                tiles.append((free, place, low))
+        high = low - 1
+    return tiles
+
+
+def _many(own: Index, seeds: Seeds, doc: np.ndarray, p: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """(item, tiles) of a document whose windows are those at the given places of the index; an item is looked at only if they can cover enough of it."""
+    kinds = np.unique(p)
+    many = seeds.start[kinds + 1] - seeds.start[kinds]
+    entry = np.repeat(seeds.start[kinds] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    for which in np.unique(seeds.item[entry]).tolist():
+        n = int(own.n_words[which])
+        if _reach(seeds.word[entry][seeds.item[entry] == which], seeds.k, n) >= threshold * n:
+            yield which, tile_by_length(doc, own.words[own.first[which]:own.first[which + 1]], seeds.k)
+
+
+def _reach(places: np.ndarray, k: int, n: int) -> int:
+    """Words of an item that windows at these places can cover at most."""
+    reach = np.zeros(n + 1, np.int64)
+    starts = np.unique(places)
+    reach[starts] += 1
+    reach[starts + k] -= 1
+    return int(np.count_nonzero(np.cumsum(reach[:-1])))
+
+
 def search(own: Index, texts: pa.Array, threshold: float) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
     """(row, item, tiles) for all items of which tiles cover at least the threshold."""
     words, _, first = hash_words(*raw(texts))
@@ -105,17 +179,17 @@ def search(own: Index, texts: pa.Array, threshold: float) -> list[tuple[int, int
             mine = row == r if len(row) < 64 else slice(*np.searchsorted(row, [r, r + 1]))
             a, p = at[mine] - first[r], place[mine]
             many = seeds.start[p + 1] - seeds.start[p]
+            if many.sum() > LISTED:
+                found = _many(own, seeds, words[first[r]:first[r + 1]], p, threshold)
+                out += [(int(r), which, tiles) for which, tiles in found if sum(t[2] for t in tiles) >= threshold * own.n_words[which]]
+                continue
             doc_at = np.repeat(a, many)
             entry = np.repeat(seeds.start[p] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
             item, word = seeds.item[entry], seeds.word[entry]
             order = np.argsort(item, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
                 which, n = int(item[group[0]]), int(own.n_words[item[group[0]]])
-                reach = np.zeros(n + 1, np.int64)  # what tiles can cover at most
-                starts = np.unique(word[group])
-                reach[starts] += 1
-                reach[starts + seeds.k] -= 1
-                if np.count_nonzero(np.cumsum(reach[:-1])) < threshold * n:
+                if _reach(word[group], seeds.k, n) < threshold * n:
                     continue
                 tiles = tile(doc_at[group], word[group], seeds.k, n)
                 if sum(t[2] for t in tiles) >= threshold * n:
@@ -142,7 +216,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold
     (A-Z lower-cased, between ASCII white space). Documents are scanned where they are: a broadcast index of the items' windows finds shared seeds,
     and tiling runs within the row, so nothing is shuffled and a passage that every document shares is no hot key. A benchmark above
     BLOCK_BYTES is taken in blocks, with one scan each, so what is broadcast doesn't grow with it. Items with fewer than ``min_match`` words
-    must occur whole; null texts, and items without words, match nothing. Repeated rows or items repeat. Other columns are ignored.
+    must occur whole; null texts, and items without words, match nothing. Ties among equally long tiles go to the first in the item, then in the document. Long texts that
+    repeat an item's words take memory in proportion to their length. Repeated rows or items repeat. Other columns are ignored.
     """
     schema = docs.select("doc_id").schema
     schema = schema.add("item_id", benchmark.schema["item_id"].dataType).add("coverage", "double").add("matched_words", "long").add("item_words", "long")

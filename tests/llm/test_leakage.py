@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -94,3 +95,37 @@ def test_odd_rows(spark, odd):
     rows = leakage.matches(odd, items).collect()
     assert sorted(r["doc_id"] for r in rows) == [4, 7, 7, 10]
     assert leakage.without(odd, items).count() == 8 and leakage.without(odd, items).columns == odd.columns
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tiles_by_length_are_the_listed_ones(seed):
+    """Texts of few different words, so that windows repeat, tiles overlap and lengths tie."""
+    rng = np.random.default_rng(seed)
+    doc, item = rng.integers(1, 3 + seed % 3, 120).astype(np.uint64), rng.integers(1, 3 + seed % 3, 30).astype(np.uint64)
+    k = 3 + seed % 3
+    pairs = [(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if (doc[d:d + k] == item[i:i + k]).all()]
+    if pairs:
+        want = leakage.tile(np.array([d for d, _ in pairs]), np.array([i for _, i in pairs]), k, len(item))
+        assert sorted(leakage.tile_by_length(doc, item, k)) == sorted(want)
+
+
+def test_long_repetitive_texts(spark, monkeypatch):
+    """Memory follows the length of the text, and a low limit of listed pairs gives the same rows."""
+    import tracemalloc
+
+    spam = "spam " * 300
+    items = spark.createDataFrame([(1, spam), (2, "a b c d e f g h"), (3, "spam " * 6 + "eggs " * 6)], "item_id long, text string")
+    own = next(leakage.blocks(items, 5))
+    peaks = []
+    for n in (50_000, 100_000):
+        tracemalloc.start()
+        found = leakage.search(own, pa.array([spam * (n // 300)]), 0.6)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert [own.item_ids[i].as_py() for _, i, _ in found] == [1]
+    assert peaks[1] < 2.5 * peaks[0] < 2.5 * 60e6
+    docs = spark.createDataFrame([(1, spam * 3), (2, "eggs " * 9 + "spam " * 8), (3, "x a b c d e y d e f g h"), (4, "spam eggs " * 50)], "doc_id long, text string")
+    want = sorted(map(tuple, leakage.matches(docs, items).collect()))
+    monkeypatch.setattr(leakage, "LISTED", 0)
+    got = [(r, own.item_ids[i].as_py(), sum(t[2] for t in tiles)) for r, i, tiles in leakage.search(own, pa.array([x["text"] for x in docs.orderBy("doc_id").collect()]), 0.6)]
+    assert sorted((r + 1, i, n) for r, i, n in got) == [(w[0], w[1], w[3]) for w in want] and want

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from riskweir.llm.common import pieces
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Pieces that the library encodes as one text.
 TOGETHER = 1000
 BLOCK_BYTES = 4 << 20

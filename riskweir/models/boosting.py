@@ -595,3 +595,92 @@ def margins(trees: Trees, codes: np.ndarray, category: np.ndarray) -> np.ndarray
             node = np.where(own < 0, node, 2 * node + 1 + right)
         out += value[node]
     return out
+
+
+# -- attributions -----------------------------------------------------------------------------------------------------------------
+
+
+def _leaf_paths(column: np.ndarray, cover: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(leaf, nodes that lead to it with the side taken) of every leaf that training rows came to."""
+    out, todo = [], [(0, [])]
+    while todo:
+        node, path = todo.pop()
+        if column[node] < 0:
+            out.append((node, path))
+            continue
+        for side in (0, 1):
+            child = 2 * node + 1 + side
+            if cover[child] > 0:
+                todo.append((child, [*path, (node, side)]))
+    return out
+
+
+def shapley(trees: Trees, codes: np.ndarray, category: np.ndarray, sources: np.ndarray, n_sources: int) -> np.ndarray:
+    """[source, row]: exact Shapley values of the log-odds, features that aren't known being averaged over as the training rows went (path-dependent).
+
+    ``sources`` names the feature that each column belongs to. A leaf's part of the score is its value times a product over the features on its path: 1 or 0 for a
+    known feature (does the row go this way), the share of training rows that went this way for an unknown one. A feature's Shapley value is the
+    leaf's value times the difference of both factors, times the weighted sum over all sets of the others, which are the coefficients of the polynomial
+    prod(share + known * t). It takes the square of the path's length per leaf, for all rows at once.
+    """
+    out = np.zeros((n_sources, codes.shape[1]))
+    for column, cut, value, cover in zip(trees.column, trees.cut, trees.value, trees.cover):
+        if not cover[0]:
+            continue
+        goes = {}
+        for leaf, path in _leaf_paths(column, cover):
+            if not path or value[leaf] == 0:
+                continue
+            share: dict[int, float] = {}
+            known: dict[int, np.ndarray] = {}
+            for node, side in path:
+                own = column[node]
+                if node not in goes:
+                    goes[node] = codes[own] == cut[node] if category[own] else codes[own] > cut[node]
+                right = goes[node]
+                f = int(sources[own])
+                share[f] = share.get(f, 1.0) * cover[2 * node + 1 + side] / cover[node]
+                step = right if side else ~right
+                known[f] = known[f] & step if f in known else step
+            features = list(share)
+            m = len(features)
+            weights = _set_weights(m)
+            # Coefficients of prod (share + known t) over all features; one factor at a time is divided out again.
+            whole = np.zeros((m + 1, codes.shape[1]))
+            whole[0] = 1
+            for f in features:
+                whole[1:] = whole[1:] * share[f] + whole[:-1] * known[f]
+                whole[0] *= share[f]
+            for f in features:
+                rest = _divided(whole, share[f], known[f])
+                out[f] += value[leaf] * (known[f] - share[f]) * (weights @ rest)
+    return out
+
+
+def _set_weights(m: int) -> np.ndarray:
+    """k! (m - 1 - k)! / m! for k known ones among the m - 1 others."""
+    out = np.empty(m)
+    out[0] = 1 / m
+    for k in range(1, m):
+        out[k] = out[k - 1] * k / (m - k)
+    return out
+
+
+def _divided(whole: np.ndarray, share: float, known: np.ndarray) -> np.ndarray:
+    """The polynomial without the factor share + known t; shares are positive, as training rows came by."""
+    rest = np.empty((len(whole) - 1, whole.shape[1]))
+    # With a known way the leading coefficient is divided by 1, which is exact from above; without, all by the share.
+    above = np.zeros(whole.shape[1])
+    for k in range(len(rest) - 1, -1, -1):
+        above = whole[k + 1] - share * above
+        rest[k] = above
+    return np.where(known, rest, whole[:-1] / share)
+
+
+def expected(trees: Trees) -> float:
+    """The score of a row of which nothing is known: the mean over the training rows."""
+    total = trees.base
+    for column, value, cover in zip(trees.column, trees.value, trees.cover):
+        if cover[0]:
+            total += sum(value[leaf] * cover[leaf] for leaf, _ in _leaf_paths(column, cover)) / cover[0]
+    return float(total)

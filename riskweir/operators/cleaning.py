@@ -97,6 +97,34 @@ def complete_applications(landed: DataFrame, formats: tuple[str, ...] = (), stri
     return v.guarded(landed, application_rules(landed), known) if strict else landed.filter(known)
 
 
+def write_applications(raw: DataFrame, path: str, tie_break: tuple[str, ...] = (), formats: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned applications as a table, in one pass over ``raw``. Bad labels or decisions, also of rows that are dropped as incomplete, leave no table: the
+    error has the number of bad cells of every rule and some of them."""
+    landed = land_applications(raw, tie_break)
+    known = (
+        F.col("application_id").isNotNull() & as_time(landed, "application_date", formats).isNotNull() & as_binary(landed, LABEL).isNotNull()
+    )
+    sound, check = v.observed(landed, application_rules(landed), known)
+    newest = latest_record(type_applications(sound, formats), "application_id", "application_date", tie_break)
+    kept = derive_applications(newest.filter(plausible(newest)))
+    return v.written(kept.drop(*[c for c in tie_break if c not in APPLICATION_COLUMNS]), check, path)
+
+
+def write_merchants(raw: DataFrame, path: str) -> DataFrame:
+    """Cleaned merchants as a table, in one pass; bad binary cells leave none, as with :func:`write_applications`."""
+    landed = land_merchants(raw)
+    sound, check = v.observed(landed, merchant_rules(landed))
+    return v.written(type_merchants(sound), check, path)
+
+
+def write_scoring_frame(df: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Typed scoring features as a table, in one pass; cells that a feature doesn't allow leave none, as with :func:`write_applications`."""
+    expected = exact_columns(df.drop(*carry), FEATURES.all).columns
+    picked = df.select(*carry, *expected)
+    sound, check = v.observed(picked, v.scoring_rules(picked.select(*expected)))
+    return v.written(scoring_frame(sound, carry=carry, strict=False), check, path)
+
+
 def split_applications(raw: DataFrame, tie_break: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows) by the strict rules, without raising."""
     landed = land_applications(raw, tie_break)

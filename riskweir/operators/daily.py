@@ -93,14 +93,15 @@ def anomaly_summary(daily: DataFrame, start: date | str, end: date | str, strict
     first, last = F.lit(start), F.lit(end)
     metrics = [m for m in WINDOW_METRICS if m in daily.columns]
     inside = F.col("app_day").between(first, last)
-    if strict:
-        n_in, n_all = daily.agg(F.count_if(inside), F.count("*")).first()
-        if n_in == 0 or n_in == n_all:
-            raise ValueError(f"The window holds {n_in} of {n_all} days; both it and the rest need some.")
-    means = daily.agg(*[
+    means = daily.agg(F.count_if(inside).alias("n_in"), F.count("*").alias("n_all"), *[
         F.avg(F.when(inside if side == "in" else ~inside, F.col(m))).alias(f"{side}_{m}")
         for m in metrics for side in ("in", "out")
     ])
+    if strict:  # the one row is needed to check the window, so it is not computed again for the result
+        row = means.first()
+        if row["n_in"] == 0 or row["n_in"] == row["n_all"]:
+            raise ValueError(f"The window holds {row['n_in']} of {row['n_all']} days; both it and the rest need some.")
+        means = daily.sparkSession.createDataFrame([row], means.schema)
     rows = means.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"out_{m}").alias("baseline_mean"), F.col(f"in_{m}").alias("anomaly_mean"))
         for m in metrics

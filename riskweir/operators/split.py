@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweir.operators.ranking import hash_cuts, prefix_counts, seeded_hash
 from riskweir.operators.violations import check_ids
 from riskweir.schema import ID, LABEL, SPLITS
+from riskweir.session import scratch
 
 SEED = 42
 PROTOCOL = "hash-ranked-stratified-70-15-15-v1"
@@ -96,11 +97,22 @@ class SplitRule:
         return df.withColumn(out, self.column_of(F.col(self.label), F.col(self.key)))
 
 
+def stored_keys(df: DataFrame, label: str, key: str, seed: int | str) -> DataFrame:
+    """(label, key, h) of every row as a table: the wide input, often a join, is read once for all passes of a fit."""
+    path = scratch(df.sparkSession, "split-keys")
+    keys = df.select(F.col(label).cast("int").alias(label), F.col(key), seeded_hash(key, seed).alias("h"))
+    keys.write.parquet(path)
+    return df.sparkSession.read.schema(keys.schema).parquet(path)
+
+
 def fit_rule(
     df: DataFrame, names: tuple, ranks: Callable[[Totals], Ranks], label: str = LABEL, key: str = ID, seed: int | str = SEED,
-    check: Callable[[Totals], None] | None = None,
+    check: Callable[[Totals], None] | None = None, strict: bool = True,
 ) -> SplitRule:
-    keyed = df.select(F.col(label).cast("int").alias(label), seeded_hash(key, seed).alias("h")).filter(F.col(label).isNotNull())
+    keys = stored_keys(df, label, key, seed)
+    if strict:
+        check_ids(keys, key)
+    keyed = keys.filter(F.col(label).isNotNull())
     counts = prefix_counts(keyed, label, "h").persist()
     try:
         sizes = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
@@ -119,9 +131,7 @@ def check_split_size(sizes: Totals) -> None:
 def fit_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> SplitRule:
     if key not in df.columns:
         raise ValueError(f"Splits follow ids; column {key!r} is absent.")
-    if strict:
-        check_ids(df, key)
-    return fit_rule(df, SPLITS, part_ranks, label, key, seed, check_split_size if strict else None)
+    return fit_rule(df, SPLITS, part_ranks, label, key, seed, check_split_size if strict else None, strict)
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> DataFrame:
@@ -131,16 +141,12 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int
 
 def holdout_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, holdout: float = 0.20, strict: bool = True) -> DataFrame:
     """Adds ``split``: train or test. Ids must name rows, as for every split here."""
-    if strict:
-        check_ids(df, key)
-    return fit_rule(df, ("train", "test"), lambda sizes: holdout_ranks(sizes, holdout), label, key, seed).apply(df)
+    return fit_rule(df, ("train", "test"), lambda sizes: holdout_ranks(sizes, holdout), label, key, seed, strict=strict).apply(df)
 
 
 def kfold(df: DataFrame, folds: int = 5, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> DataFrame:
     """Adds ``fold`` 0 .. folds-1, stratified by label."""
-    if strict:
-        check_ids(df, key)
-    rule = fit_rule(df, tuple(range(folds)), lambda sizes: fold_ranks(sizes, folds), label, key, f"fold{seed}")
+    rule = fit_rule(df, tuple(range(folds)), lambda sizes: fold_ranks(sizes, folds), label, key, f"fold{seed}", strict=strict)
     return rule.apply(df, "fold")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from riskweir.functions.coerce import as_number, binary_is_bad, dtype, is_real, stripped, trimmed_id
 from riskweir.schema import DECISIONS, FEATURES, ID, FeatureGroups
@@ -64,6 +64,62 @@ def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None) -> Dat
     return df.filter(F.when(broken.isNotNull(), stop).otherwise(F.lit(True) if keep is None else keep))
 
 
+@dataclass(frozen=True)
+class Check:
+    """What a pass over the rows found: known once the frame that :func:`observed` gave has been read to its end, as by a write."""
+
+    rules: list[Rule]
+    observation: Observation
+
+    def found(self) -> list[tuple[str, int, list[str]]]:
+        """(rule, bad cells, up to EXAMPLES distinct examples) of the broken rules, in the order of the rules."""
+        if not self.rules:
+            return []
+        got = self.observation.get
+        return [(r.name, got[f"n{i}"], sorted({got[f"e{i}_{k}"] for k in range(EXAMPLES)} - {None})) for i, r in enumerate(self.rules) if got[f"n{i}"]]
+
+    def raise_if_bad(self) -> None:
+        faults = self.found()
+        if faults:
+            raise ValueError("Rejected values: " + "; ".join(f"{rule}: {n} cells, such as {', '.join(map(repr, shown))}" for rule, n, shown in faults))
+
+
+def observed(df: DataFrame, rules: list[Rule], keep: Column | None = None) -> tuple[DataFrame, Check]:
+    """The sound rows of ``df`` (where ``keep`` holds), and the counts and examples of all bad cells, taken in the same pass.
+
+    Nothing is raised while rows are read; whoever reads them to the end asks the check. A metric per rule and slot is all that is held, however
+    many cells are bad: a value's slot is drawn from its digest, and each slot keeps its smallest value.
+    """
+    check = Check(rules, Observation())
+    if not rules:
+        return (df if keep is None else df.filter(keep)), check
+    flags = {f"_bad{i}": F.coalesce(r.bad, F.lit(False)) for i, r in enumerate(rules)}
+    shown = {f"_shown{i}": F.when(F.col(f"_bad{i}"), F.coalesce(r.shown.cast("string"), F.lit("<MISSING>"))) for i, r in enumerate(rules)}
+    marked = df.withColumns(flags).withColumns(shown)
+    metrics = []
+    for i in range(len(rules)):
+        slot = F.conv(F.substring(F.md5(F.col(f"_shown{i}").cast("binary")), 1, 1), 16, 10).cast("int") % EXAMPLES
+        metrics += [F.count_if(F.col(f"_bad{i}")).alias(f"n{i}"), *[F.min(F.when(slot == k, F.col(f"_shown{i}"))).alias(f"e{i}_{k}") for k in range(EXAMPLES)]]
+    bad = F.lit(False)
+    for name in flags:
+        bad = bad | F.col(name)
+    sound = marked.observe(check.observation, *metrics).filter(~bad & (F.lit(True) if keep is None else keep))
+    return sound.drop(*flags, *shown), check
+
+
+def written(df: DataFrame, check: Check, path: str) -> DataFrame:
+    """Writes ``df`` to a new ``path`` and reads it back. If its pass found bad cells, nothing stays there and the error counts and shows them."""
+    spark = df.sparkSession
+    df.write.parquet(path)
+    try:
+        check.raise_if_bad()
+    except ValueError:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def raise_if(df: DataFrame, rules: list[Rule], message) -> None:
     """Run the check and raise ``ValueError``; at most one row per rule reaches the driver.
 

@@ -133,7 +133,7 @@ def permutation_importances(spark, sf):
 @query
 def shapley_importances(spark, sf):
     parts, models = _models(spark, sf)
-    return shapley_importance(models, part(parts, "validation"), FEATURES)
+    return shapley_importance(models, part(parts, "validation"))
 
 
 @query

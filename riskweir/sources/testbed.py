@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table that is read as fewer splits than there are cores, as one file with one row group is, has its rows dealt out by ``key``.
+
+    A table of many splits stays as it is read and is aggregated before its first shuffle.
+    """
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if splits < cores else df
+
+
 def applications_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw applications: one row per line item, several versions per application id.
 
@@ -47,12 +57,12 @@ def applications_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> Dat
 
 
 def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return applications_from(table(spark, sf_dir, "lineitem"), spark, sf_dir)
+    return applications_from(dealt(table(spark, sf_dir, "lineitem"), "l_orderkey"), spark, sf_dir)
 
 
 def merchant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order with lines: the numbers behind merchants and scores."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.max("l_shipdate").alias("last_ship"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),

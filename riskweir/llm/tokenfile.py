@@ -203,7 +203,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
         codes: list[bytes] = []
         held = 0
         for batch in rows:
-            for piece in pieces(batch, 2 << 20):
+            for piece in pieces(batch, 6 << 20):
                 for doc, code in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text").to_pylist())):
                     if ids and held + len(code) + 4 > block_bytes:
                         done = block(part, number, inside, ids, codes)

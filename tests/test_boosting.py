@@ -245,3 +245,58 @@ def test_columns_of_a_number():
     c = Column("x", (1.0, 2.0))
     assert [c.code(v) for v in (0.5, 1.0, 1.5, 2.0, 9.0, None)] == [0, 0, 1, 1, 2, 3] and c.width == 4
     assert Column("k", size=5).code(None) == 5
+
+
+# -- larger frames
+
+
+def test_a_larger_frame_has_a_block_for_every_core(spark, monkeypatch):
+    monkeypatch.setattr(bt, "LEAST_ROWS", 10)
+    made = blocks_of(spark, rows(160), 100)
+    assert made.parts == spark.sparkContext.defaultParallelism
+
+
+def test_a_level_of_many_blocks_is_one_job(spark):
+    made = blocks_of(spark, rows(150), 40)
+    context = spark.sparkContext
+    context.setJobGroup("levels", "levels")
+    try:
+        bt.fit_many(made, [fits(made, rounds=3, depth=3)[0]])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # A job a level, and one each for the base score and the covers.
+    assert len(context.statusTracker().getJobIdsForGroup("levels")) <= 3 * 3 + 2
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 15])
+def test_histogram_counts_missing_cells_with_their_fill(monkeypatch, chunk):
+    monkeypatch.setattr(bt, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    columns = [Column("a", (0.0, 1.0, 2.0)), Column("b", size=5)]
+    layout = bt.Layout(Fit("x", ("b", "a"), {"a": 1, "b": 4}), columns)
+    codes = np.stack([rng.integers(0, c.width, 50) for c in columns]).astype(np.uint8)
+    node, weight = rng.integers(0, 4, 50), rng.integers(-9, 9, 50).astype(float)
+    got = bt.histogram(codes, layout, node, 3, (weight,))[0]
+    filled = layout.codes(bt.Block(codes, weight, node, node, {}), None)
+    want = np.zeros((3, layout.total))
+    for row in np.flatnonzero(node < 3):
+        for k in range(2):
+            want[node[row], layout.starts[k] + filled[k, row]] += weight[row]
+    assert np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("fills", [{"a": 1, "b": 4}, {"a": 3, "b": 2}, {}])
+def test_rows_go_the_way_of_their_filled_codes(fills):
+    rng = np.random.default_rng(4)
+    columns = [Column("a", (0.0, 1.0, 2.0)), Column("b", size=5)]
+    layout = bt.Layout(Fit("x", ("b", "a"), fills), columns)
+    codes = np.stack([rng.integers(0, c.width, 200) for c in columns]).astype(np.uint8)
+    filled = layout.codes(bt.Block(codes, None, None, None, {}), None)
+    tree = bt.Tree(2)
+    tree.column[:3], tree.cut[:3] = (0, 1, -1), (4, 1, 0)
+    want = []
+    for b, a in filled.T:
+        want.append(2 if b == 4 else 3 + (a > 1))
+    assert bt._way(tree, layout).down(codes, 2).tolist() == want
+    tree.column[:] = -1
+    assert not bt._way(tree, layout).down(codes, 2).any()

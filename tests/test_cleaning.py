@@ -267,3 +267,27 @@ def test_check_reads_the_rows_once(spark):
     assert plan.count("CollectMetrics") == 1 and "Exchange" not in plan
     assert sound.count() == 4 and check.found() == []
     check.raise_if_bad()
+
+
+def test_check_stays_above_the_cells_it_reads(spark):
+    """Cells are made once a row: a check that is pushed into the join below has copies of their expressions, more than a compiler takes."""
+    left = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, " Yes").otherwise("no ").alias("isFraud"), F.when(F.col("id") % 3 == 0, "T").otherwise("NULL").alias("isconnected"))
+    right = spark.range(50).select(F.col("id").alias("other"), (F.col("id") * 1.5).cast("string").alias("EAScore"))
+    clean = cleaning.clean_merchants(left.join(right, F.col("id") == F.col("other")))
+    plan = clean.select("id", "is_fraud")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "raise_error" in line]
+    assert len(lines) == 1 and "Filter" in lines[0]
+    assert "CASE WHEN" not in next(line for line in plan.splitlines() if "Join" in line)
+    rows = clean.orderBy("id").collect()
+    assert [r["is_fraud"] for r in rows] == [1.0, 0.0] * 25 and rows[4]["ea_score"] == 6.0 and rows[3]["is_connected"] == 1.0 and rows[4]["is_connected"] is None
+
+
+def test_guard_makes_typed_columns_and_names_the_first_broken_rule(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (3, None, 3.0)], "n int, t string, x double")
+    rules = [v.Rule("t", F.col("t").isNull(), F.col("t")), v.Rule("n", F.col("n") > 2, F.col("n"))]
+    got = v.guarded(df.filter("n < 3"), rules, F.col("x").isNotNull(), typed={"t": F.upper("t"), "twice": F.col("n") * 2})
+    assert got.columns == ["n", "t", "x", "twice"] and [tuple(r) for r in got.collect()] == [(1, "A", 1.0, 2)]
+    with pytest.raises(PySparkException, match="Rejected value in t: <MISSING>"):
+        v.guarded(df, rules, F.col("x").isNotNull()).collect()
+    with pytest.raises(PySparkException, match="Rejected value in n: 3"):
+        v.guarded(df, rules[1:], F.col("n") < 3).collect()

@@ -300,3 +300,35 @@ def test_rows_go_the_way_of_their_filled_codes(fills):
     assert bt._way(tree, layout).down(codes, 2).tolist() == want
     tree.column[:] = -1
     assert not bt._way(tree, layout).down(codes, 2).any()
+
+
+def test_sibling_sums_are_those_of_counting_every_node():
+    """Of two siblings only the smaller one is counted; rows without weight and columns that aren't drawn are left out."""
+    draw = np.random.default_rng(5)
+    columns = [bt.Column("a", tuple(range(6))), bt.Column("b", size=9), bt.Column("c", (0.5,))]
+    fit = bt.Fit("f", ("a", "b", "c"), {"a": 2, "b": 4})
+    layout = bt.Layout(fit, columns)
+    n = 500
+    codes = np.stack([draw.integers(0, c.width, n) for c in columns]).astype(np.uint8)
+    g, h = (np.rint(draw.normal(0, 1e9, n)) * (draw.random(n) < 0.8) for _ in range(2))
+    drawn = (g != 0) | (h != 0)
+    parent = draw.integers(0, 2, n)
+    node = np.where(parent == 0, 3 + (draw.random(n) < 0.2), 5 + (draw.random(n) < 0.7))
+    nodes = [3, 4, 5, 6]
+    whole = bt.histogram(codes, layout, parent, 2, (g, h))
+    want = bt.histogram(codes, layout, node - 3, 4, (g, h))
+    seen = []
+
+    def spied(codes, layout, node, n_nodes, weights, rows=None, wanted=None, plain=bt.histogram):
+        seen.append((n_nodes, n if rows is None else len(rows)))
+        return plain(codes, layout, node, n_nodes, weights, rows, wanted)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bt, "histogram", spied)
+        got = bt._level_histogram(codes, layout, node, nodes, (g, h), drawn, np.ones(3, bool), {1: whole[:, 0], 2: whole[:, 1]})
+        part = bt._level_histogram(codes, layout, np.zeros(n, np.int64), [0], (g, h), drawn, np.array([True, False, True]), {})
+    assert (got == want).all()
+    assert seen[0][0] == 2 and seen[0][1] < n / 2 and seen[1] == (1, drawn.sum())
+    root = whole.sum(1)[:, None]
+    unused = layout.owner == 1
+    assert (part[:, :, ~unused] == root[:, :, ~unused]).all() and not part[:, :, unused].any()

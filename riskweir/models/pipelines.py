@@ -31,6 +31,8 @@ from riskweir.schema import FEATURES, ID, LABEL, FeatureGroups
 SEED = 42
 MODELS = ("gbt_onehot", "gbt_encoded")
 ROUNDS = 300
+#: Rows of a partition that the plain tree is fitted on: it holds a number for every row and part of a vector.
+TREE_ROWS = 1 << 17
 
 # Default settings of the two boosted candidates.
 DEFAULTS = {
@@ -413,4 +415,9 @@ def prepare_vectors(name: str, train: DataFrame, groups: FeatureGroups = FEATURE
     encoded = Pipeline(stages=encoders(name, groups)).fit(filled.transform(train))
     stages = [filled, *encoded.stages]
     columns = assembler(name, groups).getInputCols()
-    return PreparedTree(groups, stages, PipelineModel(stages).transform(train).select(LABEL, *columns).persist())
+    return PreparedTree(groups, stages, _bounded(PipelineModel(stages).transform(train).select(LABEL, *columns), train.count()).persist())
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Partitions of TREE_ROWS rows where the cores would have more each, so that what a task reads doesn't grow with the table."""
+    return df.repartition(-(-rows // TREE_ROWS)) if rows > TREE_ROWS * df.sparkSession.sparkContext.defaultParallelism else df

@@ -180,12 +180,16 @@ def model_frame(
     keys = [identity] if identity else []
     frame = clean.filter(F.col(LABEL).isNotNull()).select(*keys, F.col(LABEL).cast("int").alias(LABEL), *groups.all)
     if check_classes:
-        low, high = frame.agg(F.min(LABEL), F.max(LABEL)).first()
-        if low is None or low == high:
-            raise ValueError("The label has one class only; a model needs both.")
+        require_classes(frame)
     return frame, groups
 
 
+def require_classes(frame: DataFrame) -> None:
+    low, high = frame.agg(F.min(LABEL), F.max(LABEL)).first()
+    if low is None or low == high:
+        raise ValueError("The label has one class only; a model needs both.")
+
+
 def scoring_frame(df: DataFrame, groups: FeatureGroups = FEATURES, carry: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """Exact feature schema, typed; ``carry`` columns travel along untouched."""
     ordered = exact_columns(df.drop(*carry), groups.all)

@@ -57,7 +57,7 @@ def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None, typed:
     Check and selection are made in the scan's own pass, so a row that is not kept is checked as well and nothing is
     read twice. The error names rule and value; :func:`violations` counts all of them.
 
-    Every row is numbered where it is checked, and an optimizer doesn't move a filter past such numbers: the cells stay columns that are made once a row. A
+    Every row is marked with the partition that it is checked in, and an optimizer doesn't move a filter past such a mark: the cells stay columns that are made once a row. A
     check that is pushed below them has a copy of each cell wherever it names one, which is more code than is compiled. ``typed`` are columns to be
     made of the same cells; what they share with the rules is computed once.
     """
@@ -67,7 +67,7 @@ def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None, typed:
     shown = F.get(F.array(*[r.shown.cast("string") for r in rules]), broken)
     name = F.get(F.array(*[F.lit(f"{r.name}: ") for r in rules]), F.col("__broken"))
     checked = df.withColumns((typed or {}) | {
-        "__broken": broken, "__shown": shown, "__kept": F.lit(True) if keep is None else keep, "__place": F.monotonically_increasing_id(),
+        "__broken": broken, "__shown": shown, "__kept": F.lit(True) if keep is None else keep, "__place": F.spark_partition_id(),
     })
     stop = F.raise_error(F.concat(F.lit("Rejected value in "), name, F.coalesce(F.col("__shown"), F.lit("<MISSING>"))))
     sound = F.when(F.col("__broken").isNotNull(), stop).otherwise(F.col("__kept"))

@@ -291,3 +291,11 @@ def test_guard_makes_typed_columns_and_names_the_first_broken_rule(spark):
         v.guarded(df, rules, F.col("x").isNotNull()).collect()
     with pytest.raises(PySparkException, match="Rejected value in n: 3"):
         v.guarded(df, rules[1:], F.col("n") < 3).collect()
+
+
+def test_guard_reads_streams(spark, tmp_path):
+    spark.range(6).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    checked = v.guarded(rows, [v.Rule("id", F.col("id") > 9, F.col("id"))], F.col("id") > 1, typed={"twice": F.col("id") * 2})
+    checked.writeStream.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet").awaitTermination()
+    assert sorted(r["twice"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [4, 6, 8, 10]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Accepted texts for true and false.
@@ -45,13 +47,22 @@ def null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)) for c in texts}) if texts else df
 
 
+def number_of(text: Column) -> Column:
+    """Double of a stripped text, or NULL if it is not a plain decimal number."""
+    # The pattern keeps out suffixes such as "4d" that a bare cast would accept.
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
+def binary_of(text: Column) -> Column:
+    """1.0 / 0.0 of a stripped lower-case text, NULL for anything else."""
+    return F.when(text.isin(*TRUE_TEXT, ONE), F.lit(1.0)).when(text.isin(*FALSE_TEXT, ZERO), F.lit(0.0))
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """Double, or NULL for text that is not a plain decimal number."""
     col, kind = F.col(name), dtype(df, name)
     if isinstance(kind, T.StringType):
-        # The pattern keeps out suffixes such as "4d" that a bare cast would accept.
-        text = stripped(col)
-        return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        return number_of(stripped(col))
     if isinstance(kind, T.BooleanType):
         return col.cast("int").cast("double")
     if isinstance(kind, T.NumericType):
@@ -61,21 +72,35 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 def as_binary(df: DataFrame, name: str) -> Column:
     """1.0 / 0.0 for the accepted values, NULL for missing and for anything else."""
-    col, kind = F.col(name), dtype(df, name)
-    if isinstance(kind, T.StringType):
-        text = F.lower(stripped(col))
-        return F.when(text.isin(*TRUE_TEXT, ONE), F.lit(1.0)).when(text.isin(*FALSE_TEXT, ZERO), F.lit(0.0))
+    if isinstance(dtype(df, name), T.StringType):
+        return binary_of(F.lower(stripped(F.col(name))))
     number = as_number(df, name)
     return F.when(number.isin(0.0, 1.0), number)
 
 
-def binary_is_bad(df: DataFrame, name: str) -> Column:
-    """True where a value is present but is not an accepted binary value."""
+def binary_is_bad(df: DataFrame, name: str, binary: Column | None = None) -> Column:
+    """True where a value is present but is not an accepted binary value. ``binary`` is a column of :func:`as_binary`, if there is one."""
     col = F.col(name)
     present = col.isNotNull()
     if is_real(dtype(df, name)):
         present = present & ~F.isnan(col)
-    return present & as_binary(df, name).isNull()
+    return present & (as_binary(df, name) if binary is None else binary).isNull()
+
+
+def typed_once(df: DataFrame, numbers: Sequence[str], binaries: Sequence[str]) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``df`` with a column of its own for every number and binary cell, and those columns by name.
+
+    Rules and results that name these columns have no copy of the expressions, whose code, repeated for each of them, is more than the JVM compiles. Texts go
+    through one lambda each for numbers and binary cells, so the code doesn't grow with the number of columns.
+    """
+    kinds = {c: isinstance(dtype(df, c), T.StringType) for c in (*numbers, *binaries)}
+    ways = {"__numbers": ([c for c in numbers if kinds[c]], number_of), "__binaries": ([c for c in binaries if kinds[c]], lambda t: binary_of(F.lower(t)))}
+    arrays = {name: F.transform(F.transform(F.array(*map(F.col, texts)), stripped), of) for name, (texts, of) in ways.items() if texts}
+    made = {f"__number_{c}": as_number(df, c) for c in numbers if not kinds[c]} | {f"__binary_{c}": as_binary(df, c) for c in binaries if not kinds[c]}
+    for name, prefix in (("__numbers", "__number_"), ("__binaries", "__binary_")):
+        made |= {f"{prefix}{c}": F.get(F.col(name), F.lit(i)) for i, c in enumerate(ways[name][0])}
+    out = df.withColumns(arrays).withColumns(made).drop(*arrays)
+    return out, {c: F.col(f"__number_{c}") for c in numbers}, {c: F.col(f"__binary_{c}") for c in binaries}
 
 
 def as_time(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Column:

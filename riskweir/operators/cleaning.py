@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweir.functions.coerce import as_binary, as_number, as_time, nan_to_null, null_tokens, stripped, whole_days
+from riskweir.functions.coerce import as_binary, as_number, as_time, nan_to_null, null_tokens, stripped, typed_once, whole_days
 from riskweir.operators import violations as v
 from riskweir.operators.names import apply_aliases, exact_columns, normalize_names, require
 from riskweir.schema import (
@@ -132,8 +132,12 @@ def split_applications(raw: DataFrame, tie_break: tuple[str, ...] = ()) -> tuple
     return landed.filter(~bad), landed.filter(bad)
 
 
-def merchant_rules(df: DataFrame) -> list[v.Rule]:
-    return v.binary_rules(df, [LABEL, *[c for c in BOOLEAN if c in df.columns]])
+def binary_columns(df: DataFrame) -> list[str]:
+    return [LABEL, *[c for c in BOOLEAN if c in df.columns]]
+
+
+def merchant_rules(df: DataFrame, binaries: dict[str, Column] | None = None) -> list[v.Rule]:
+    return v.binary_rules(df, binary_columns(df), binaries)
 
 
 def land_merchants(raw: DataFrame) -> DataFrame:
@@ -141,11 +145,9 @@ def land_merchants(raw: DataFrame) -> DataFrame:
     return require(nan_to_null(null_tokens(named)), [LABEL])
 
 
-def merchant_types(df: DataFrame, formats: tuple[str, ...] = ()) -> dict[str, Column]:
-    """Row-local typing; missing feature values are kept."""
-    typed = {LABEL: as_binary(df, LABEL)}
-    typed |= {c: as_binary(df, c) for c in BOOLEAN if c in df.columns}
-    typed |= {c: as_number(df, c) for c in NUMERIC if c in df.columns}
+def merchant_types(df: DataFrame, formats: tuple[str, ...] = (), made: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Row-local typing; missing feature values are kept. ``made`` are columns of the typed numbers and binary cells, if they were made before."""
+    typed = made or {c: as_binary(df, c) for c in binary_columns(df)} | {c: as_number(df, c) for c in NUMERIC if c in df.columns}
     typed |= {c: F.col(c).cast("string") for c in CATEGORICAL if c in df.columns}
     if "open_date" in df.columns:
         opened = as_time(df, "open_date", formats)
@@ -163,7 +165,11 @@ def type_merchants(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
 def clean_merchants(raw: DataFrame, formats: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """Typed merchants with missing values preserved; fills are learned later, on training rows only."""
     landed = land_merchants(raw)
-    return v.guarded(landed, merchant_rules(landed), typed=merchant_types(landed, formats)) if strict else type_merchants(landed, formats)
+    if not strict:
+        return type_merchants(landed, formats)
+    made, numbers, binaries = typed_once(landed, [c for c in NUMERIC if c in landed.columns], binary_columns(landed))
+    sound = v.guarded(made, merchant_rules(landed, binaries), typed=merchant_types(landed, formats, binaries | numbers))
+    return sound.drop(*(c for c in made.columns if c not in landed.columns))
 
 
 def model_frame(
@@ -194,5 +200,8 @@ def scoring_frame(df: DataFrame, groups: FeatureGroups = FEATURES, carry: tuple[
     """Exact feature schema, typed; ``carry`` columns travel along untouched."""
     ordered = exact_columns(df.drop(*carry), groups.all)
     full = df.select(*carry, *ordered.columns)
-    typed = {c: as_number(full, c) for c in groups.continuous} | {c: F.col(c).cast("string") for c in groups.categorical}
-    return v.guarded(full, v.scoring_rules(full, groups), typed=typed) if strict else full.withColumns(typed)
+    texts = {c: F.col(c).cast("string") for c in groups.categorical}
+    if not strict:
+        return full.withColumns({c: as_number(full, c) for c in groups.continuous} | texts)
+    made, numbers, _ = typed_once(full, groups.continuous, [])
+    return v.guarded(made, v.scoring_rules(full, groups, numbers), typed=numbers | texts).select(*full.columns)

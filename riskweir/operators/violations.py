@@ -10,6 +10,8 @@ from riskweir.functions.coerce import as_number, binary_is_bad, dtype, is_real,
 from riskweir.schema import DECISIONS, FEATURES, ID, FeatureGroups
 
 EXAMPLES = 5
+#: Rules whose code is compiled with that of the row.
+FEW_RULES = 8
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,11 @@ def any_bad(rules: list[Rule]) -> Column:
     return flag
 
 
+def _aside(column: Column) -> Column:
+    """The column as the body of a lambda: however many rules it has, it adds a call to the code of a row and not its own code, which may be more than the JVM compiles."""
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: column), F.lit(0))
+
+
 def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None, typed: dict[str, Column] | None = None) -> DataFrame:
     """The rows of ``df`` (where ``keep`` holds), with an error at the first row that breaks a rule.
 
@@ -59,19 +66,18 @@ def guarded(df: DataFrame, rules: list[Rule], keep: Column | None = None, typed:
 
     Every row is marked with the partition that it is checked in, and an optimizer doesn't move a filter past such a mark: the cells stay columns that are made once a row. A
     check that is pushed below them has a copy of each cell wherever it names one, which is more code than is compiled. ``typed`` are columns to be
-    made of the same cells; what they share with the rules is computed once.
+    made of the rows that passed; what they share with the rules should be columns of ``df`` (:func:`coerce.typed_once`). The text of a bad cell is made for a bad row alone.
     """
     if not rules:
         return df.withColumns(typed or {}) if keep is None else df.filter(keep).withColumns(typed or {})
     broken = F.coalesce(*[F.when(F.coalesce(r.bad, F.lit(False)), F.lit(i)) for i, r in enumerate(rules)])
-    shown = F.get(F.array(*[r.shown.cast("string") for r in rules]), broken)
-    name = F.get(F.array(*[F.lit(f"{r.name}: ") for r in rules]), F.col("__broken"))
-    checked = df.withColumns((typed or {}) | {
-        "__broken": broken, "__shown": shown, "__kept": F.lit(True) if keep is None else keep, "__place": F.spark_partition_id(),
-    })
-    stop = F.raise_error(F.concat(F.lit("Rejected value in "), name, F.coalesce(F.col("__shown"), F.lit("<MISSING>"))))
-    sound = F.when(F.col("__broken").isNotNull(), stop).otherwise(F.col("__kept"))
-    return checked.filter((F.col("__place") >= 0) & sound).drop("__broken", "__shown", "__kept", "__place")
+    checked = df.withColumns({"__broken": broken if len(rules) <= FEW_RULES else _aside(broken), "__kept": F.lit(True) if keep is None else keep, "__place": F.spark_partition_id()})
+    at = F.col("__broken")
+    shown = F.coalesce(*[F.when(at == i, r.shown.cast("string")) for i, r in enumerate(rules)], F.lit("<MISSING>"))
+    name = F.get(F.array(*[F.lit(f"{r.name}: ") for r in rules]), at)
+    sound = F.when(at.isNotNull(), F.raise_error(F.concat(F.lit("Rejected value in "), _aside(F.concat(name, shown))))).otherwise(F.col("__kept"))
+    passed = checked.filter((F.col("__place") >= 0) & sound).drop("__broken", "__kept", "__place")
+    return passed.withColumns(typed) if typed else passed
 
 
 @dataclass(frozen=True)
@@ -144,8 +150,9 @@ def raise_if(df: DataFrame, rules: list[Rule], message) -> None:
         raise ValueError("; ".join(message(rows[r.name]) for r in broken))
 
 
-def binary_rules(df: DataFrame, columns: list[str]) -> list[Rule]:
-    return [Rule(c, binary_is_bad(df, c), F.col(c)) for c in columns]
+def binary_rules(df: DataFrame, columns: list[str], binaries: dict[str, Column] | None = None) -> list[Rule]:
+    """``binaries`` are columns of the typed cells, if they were made before (:func:`coerce.typed_once`)."""
+    return [Rule(c, binary_is_bad(df, c, (binaries or {}).get(c)), F.col(c)) for c in columns]
 
 
 def binary_message(row) -> str:
@@ -165,11 +172,11 @@ def decision_message(row) -> str:
     return f"{row['rule']}: {row['n_bad']} cells are no known decision, such as {row['examples']}"
 
 
-def scoring_rules(df: DataFrame, groups: FeatureGroups = FEATURES) -> list[Rule]:
-    """Numbers must parse and be finite; boolean features hold 0, 1 or nothing."""
+def scoring_rules(df: DataFrame, groups: FeatureGroups = FEATURES, numbers: dict[str, Column] | None = None) -> list[Rule]:
+    """Numbers must parse and be finite; boolean features hold 0, 1 or nothing. ``numbers`` are columns of the typed cells, if they were made before."""
     rules = []
     for name in groups.continuous:
-        number = as_number(df, name)
+        number = numbers[name] if numbers else as_number(df, name)
         present = F.col(name).isNotNull()
         if is_real(dtype(df, name)):
             present = present & ~F.isnan(name)

@@ -243,10 +243,10 @@ def _approved(spark, sf) -> tuple[DataFrame, dict]:
 def manifest_difference(spark, sf):
     """What the record says about a set that lacks some approved rows and holds some others."""
     membership, record = _approved(spark, sf)
-    rows = tb.merchants(spark, sf).select(ID)
+    rows = tb.stored(tb.merchants(spark, sf).select(ID), "ids")  # both parts of the set and two passes over it read them
     development = split.members_of(rows, membership, ("train", "validation")).filter(~_ends(ID, "21"))
     strange = rows.filter(_ends(ID, "22")).select(F.concat(F.col(ID), F.lit("x")).alias(ID))
-    found = identity.manifest_differences(development.unionByName(strange), record, split.development_rows(membership).select(ID))
+    found = identity.manifest_differences(tb.stored(development.unionByName(strange), "found"), record, split.development_rows(membership).select(ID))
     counts = [found["rows"][0], found["rows"][1], found["not approved"][0], found["absent"][0]]
     return spark.createDataFrame([counts], "n_found bigint, n_approved bigint, not_approved bigint, absent bigint")
 

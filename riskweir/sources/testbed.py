@@ -30,6 +30,12 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if splits < cores else df
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """All rows of a key in one partition, for several aggregates by it that each shuffle otherwise."""
+    splits, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if splits < cores else df.repartition(F.col(key))
+
+
 def applications_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw applications: one row per line item, several versions per application id.
 
@@ -62,7 +68,7 @@ def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merchant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order with lines: the numbers behind merchants and scores."""
-    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
+    lines = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.max("l_shipdate").alias("last_ship"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),

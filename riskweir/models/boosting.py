@@ -708,6 +708,27 @@ def margins(trees: Trees, codes: np.ndarray, category: np.ndarray) -> np.ndarray
     return out
 
 
+def swapped_margins(trees: Trees, codes: np.ndarray, category: np.ndarray, sources: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """[source, row]: :func:`margins` of the rows with the codes of one source feature after the other taken from ``given`` [column, row].
+
+    Only the trees that split at a feature are walked again for it; a row's leaves are added up in the order of the trees, so the scores are the same to the last bit.
+    """
+    depth = int(trees.column.shape[1] + 1).bit_length() - 2
+    codes, given = np.ascontiguousarray(codes, np.int32), np.ascontiguousarray(given, np.int32)
+    at, widths = np.arange(len(codes)), np.full(len(codes), np.iinfo(np.int32).max, np.int64)
+    ways = [Way(column, cut, at, widths, category, widths - 1) for column, cut in zip(trees.column, trees.cut)]
+    plain = np.stack([value[way.down(codes, depth)] for way, value in zip(ways, trees.value)]) if ways else np.empty((0, codes.shape[1]))
+    out = np.empty((int(sources.max()) + 1 if len(sources) else 0, codes.shape[1]))
+    for f in range(len(out)):
+        own = np.where((sources == f)[:, None], given, codes)
+        score = np.full(codes.shape[1], trees.base)
+        for k, way in enumerate(ways):
+            used = trees.column[k][trees.column[k] >= 0]
+            score += trees.value[k][way.down(own, depth)] if (sources[used] == f).any() else plain[k]
+        out[f] = score
+    return out
+
+
 # -- attributions -----------------------------------------------------------------------------------------------------------------
 
 
@@ -753,21 +774,34 @@ def shapley(trees: Trees, codes: np.ndarray, category: np.ndarray, sources: np.n
                 share[f] = share.get(f, 1.0) * cover[2 * node + 1 + side] / cover[node]
                 step = right if side else ~right
                 known[f] = known[f] & step if f in known else step
+            # A row's part is decided by the features whose way it goes: it is worked out once for each set of them, where these are fewer than the rows.
             features = list(share)
-            m = len(features)
-            weights = _set_weights(m)
-            # Coefficients of prod (share + known t) over all features; one factor at a time is divided out again.
-            whole = np.zeros((m + 1, codes.shape[1]))
-            whole[0] = 1
-            for f in features:
-                whole[1:] = whole[1:] * share[f] + whole[:-1] * known[f]
-                whole[0] *= share[f]
-            for f in features:
-                rest = _divided(whole, share[f], known[f])
-                out[f] += value[leaf] * (known[f] - share[f]) * (weights @ rest)
+            if 1 << len(features) < codes.shape[1]:
+                pattern = np.zeros(codes.shape[1], np.intp)
+                for k, f in enumerate(features):
+                    pattern |= known[f].astype(np.intp) << k
+                sets = np.arange(1 << len(features))
+                table = _leaf_parts(value[leaf], [share[f] for f in features], [(sets >> k & 1).astype(bool) for k in range(len(features))])
+                for f, part in zip(features, table):
+                    out[f] += part[pattern]
+            else:
+                for f, part in zip(features, _leaf_parts(value[leaf], [share[f] for f in features], [known[f] for f in features])):
+                    out[f] += part
     return out
 
 
+def _leaf_parts(value: float, shares: Sequence[float], known: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """What a leaf adds to the value of each feature on its path, for rows that go its way (``known``) or don't."""
+    weights = _set_weights(len(shares))
+    # Coefficients of prod (share + known t) over all features; one factor at a time is divided out again.
+    whole = np.zeros((len(shares) + 1, len(known[0])))
+    whole[0] = 1
+    for share, own in zip(shares, known):
+        whole[1:] = whole[1:] * share + whole[:-1] * own
+        whole[0] *= share
+    return [value * (own - share) * (weights @ _divided(whole, share, own)) for share, own in zip(shares, known)]
+
+
 def _set_weights(m: int) -> np.ndarray:
     """k! (m - 1 - k)! / m! for k known ones among the m - 1 others."""
     out = np.empty(m)

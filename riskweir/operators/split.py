@@ -82,19 +82,30 @@ class SplitRule:
         part is pushed below other projections.
         """
 
-        def chosen(hashed: Column) -> Column:
-            whole = F.lit(None)
-            for c, cuts in self.cuts.items():
-                part = F.lit(self.names[-1])
-                for i in reversed(range(len(cuts))):
-                    part = F.when(hashed <= cuts[i], F.lit(self.names[i])).otherwise(part)
-                whole = F.when(label == c, part).otherwise(whole)
-            return whole
+        return F.get(F.transform(F.array(seeded_hash(key, self.seed)), lambda hashed: self.chosen(label, hashed)), 0)
 
-        return F.get(F.transform(F.array(seeded_hash(key, self.seed)), chosen), 0)
+    def chosen(self, label: Column, hashed: Column) -> Column:
+        """The part decided by a label and the seeded hash of an id."""
+        whole = F.lit(None)
+        for c, cuts in self.cuts.items():
+            part = F.lit(self.names[-1])
+            for i in reversed(range(len(cuts))):
+                part = F.when(hashed <= cuts[i], F.lit(self.names[i])).otherwise(part)
+            whole = F.when(label == c, part).otherwise(whole)
+        return whole
 
-    def apply(self, df: DataFrame, out: str = "split") -> DataFrame:
-        return df.withColumn(out, self.column_of(F.col(self.label), F.col(self.key)))
+    def apply(self, df: DataFrame, out: str = "split", hashed: str | None = None) -> DataFrame:
+        """``hashed`` is a column of the seeded hash of the id, if the rows have one."""
+        label = F.col(self.label)
+        return df.withColumn(out, self.chosen(label, F.col(hashed)) if hashed else self.column_of(label, F.col(self.key)))
+
+
+def with_hash(df: DataFrame, out: str, key: str = ID, seed: int | str = SEED) -> DataFrame:
+    """Adds the seeded hash of the id. A table that is stored with it is split, and read by split any number of times, without a hash made again.
+
+    The hash is made in a lambda: its code, put beside that of the rows, would be more than the JVM compiles.
+    """
+    return df.withColumn(out, F.get(F.transform(F.array(key), lambda k: seeded_hash(k, seed)), 0))
 
 
 def stored_keys(df: DataFrame, label: str, key: str, seed: int | str) -> DataFrame:
@@ -107,9 +118,13 @@ def stored_keys(df: DataFrame, label: str, key: str, seed: int | str) -> DataFra
 
 def fit_rule(
     df: DataFrame, names: tuple, ranks: Callable[[Totals], Ranks], label: str = LABEL, key: str = ID, seed: int | str = SEED,
-    check: Callable[[Totals], None] | None = None, strict: bool = True,
+    check: Callable[[Totals], None] | None = None, strict: bool = True, hashed: str | None = None,
 ) -> SplitRule:
-    keys = stored_keys(df, label, key, seed)
+    """``hashed`` names the column that :func:`with_hash` gave to the stored rows, with the same key and seed; without it the keys are stored with their hash."""
+    if hashed:
+        keys = df.select(F.col(label).cast("int").alias(label), F.col(key), F.col(hashed).alias("h"))
+    else:
+        keys = stored_keys(df, label, key, seed)
     if strict:
         check_ids(keys, key)
     keyed = keys.filter(F.col(label).isNotNull())
@@ -128,15 +143,17 @@ def check_split_size(sizes: Totals) -> None:
         raise ValueError(f"Too few rows for three parts with both classes: {sizes}")
 
 
-def fit_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> SplitRule:
+def fit_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True, hashed: str | None = None) -> SplitRule:
     if key not in df.columns:
         raise ValueError(f"Splits follow ids; column {key!r} is absent.")
-    return fit_rule(df, SPLITS, part_ranks, label, key, seed, check_split_size if strict else None, strict)
+    return fit_rule(df, SPLITS, part_ranks, label, key, seed, check_split_size if strict else None, strict, hashed)
 
 
-def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True) -> DataFrame:
-    """Adds ``split``: train 70 %, validation 15 %, test 15 % of each class."""
-    return fit_split(df, label, key, seed, strict).apply(df)
+def stratified_split(
+    df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, strict: bool = True, hashed: str | None = None,
+) -> DataFrame:
+    """Adds ``split``: train 70 %, validation 15 %, test 15 % of each class. ``hashed`` is a column of :func:`with_hash` in a stored table."""
+    return fit_split(df, label, key, seed, strict, hashed).apply(df, hashed=hashed)
 
 
 def holdout_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED, holdout: float = 0.20, strict: bool = True) -> DataFrame:

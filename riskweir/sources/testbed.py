@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweir.operators.cleaning import clean_merchants, model_frame
-from riskweir.operators.split import stratified_split
+from riskweir.operators.split import stratified_split, with_hash
 from riskweir.schema import ID, LABEL
 from riskweir.session import scratch
 
@@ -61,8 +61,12 @@ def applications_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merchant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order with lines: the numbers behind merchants and scores."""
-    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(
+    """Per order with lines: the numbers behind merchants and scores.
+
+    The lines are dealt out by order once: counts by order and supplier, and those by order, are then made where the lines are, without a shuffle of their own.
+    """
+    needed = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag")
+    lines = needed.repartition("l_orderkey").groupBy("l_orderkey").agg(
         F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.max("l_shipdate").alias("last_ship"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
@@ -132,7 +136,8 @@ def stored_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(stored_merchants(spark, sf_dir))
+    rows = stored(with_hash(merchants(spark, sf_dir), "__hash"), "merchants")
+    return stratified_split(rows, hashed="__hash").drop("__hash")
 
 
 def train_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:

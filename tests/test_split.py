@@ -39,6 +39,15 @@ def test_rule_gives_the_same_part_to_a_single_row(spark):
     assert whole["id-17"] == one["split"]
 
 
+def test_rows_with_a_stored_hash_are_split_alike(spark, tmp_path, monkeypatch):
+    split.with_hash(labelled(spark, 60, 40), "h").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    whole = members(split.stratified_split(df.drop("h")))
+    monkeypatch.setattr(split, "stored_keys", lambda *_: pytest.fail("the keys are stored again"))
+    parts = split.stratified_split(df, hashed="h")
+    assert members(parts) == whole and "sha2" not in parts._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("bad, match", [(None, "without an id"), ("  ", "blank id"), ("Null", "blank id"), ("id-3", "sharing an id")])
 def test_bad_ids(spark, bad, match):
     df = labelled(spark, 20, 20).withColumn(ID, F.when(F.col(ID) == "id-0", F.lit(bad)).otherwise(F.col(ID)))

@@ -28,15 +28,17 @@ def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Bad cells are counted by (rule, text) before the shuffle, so one text filling a third of the
     table costs one row per task; the examples come from a limited rank, never from a full set.
+    Totals and examples both keep the counts, so that their shuffles are the same one and ``df`` is read once.
     """
     cells = F.array(*[
         F.when(r.bad, F.struct(F.lit(r.name).alias("rule"), F.coalesce(r.shown.cast("string"), F.lit("<MISSING>")).alias("value")))
         for r in rules
     ])
-    found = df.select(F.explode(F.array_compact(cells)).alias("cell")).select("cell.*")
+    # A filter after the explode, as array_compact() has no compiled code and takes that of all rules with it.
+    found = df.select(F.explode(cells).alias("cell")).filter(F.col("cell").isNotNull()).select("cell.*")
     counted = found.groupBy("rule", "value").agg(F.count("*").alias("n"))
     first = (
-        counted.withColumn("at", F.row_number().over(Window.partitionBy("rule").orderBy("value")))
+        counted.withColumn("at", F.row_number().over(Window.partitionBy("rule").orderBy("value", "n")))
         .filter(F.col("at") <= EXAMPLES)
         .groupBy("rule")
         .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda s: s["value"])).alias("examples"))

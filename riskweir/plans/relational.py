@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from riskweir.functions.coerce import typed_once
 from riskweir.models.scoring import hash_sample
 from riskweir.operators import audit, cleaning, compare, daily, decide, drift, evaluate, fill, identity, idtree, split, violations as v
 from riskweir.plans.oracle import MEAN_DIGITS, WINDOW
@@ -144,7 +145,8 @@ def bad_merchants(spark, sf):
 @query
 def scoring_schema_violations(spark, sf):
     bad = bad_merchants(spark, sf)
-    return v.violations(bad, v.scoring_rules(bad))
+    made, numbers, _ = typed_once(bad, FEATURES.continuous, [])
+    return v.violations(made, v.scoring_rules(bad, numbers=numbers))
 
 
 @query

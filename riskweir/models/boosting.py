@@ -24,7 +24,7 @@ from pyspark.sql import Column as SparkColumn, DataFrame, SparkSession, function
 from riskweir.session import scratch
 
 BLOCK_ROWS = 1 << 20
-#: Rows of a frame up to which a fit is a task, which reads all blocks one after the other and holds some 50 bytes a row of them.
+#: Rows of a frame up to which a fit is a task, which reads all blocks one after the other and holds some 70 bytes a row of them.
 TASK_ROWS = 1 << 23
 #: Rows that are worth a block of their own where cores would be idle.
 LEAST_ROWS = 1 << 12
